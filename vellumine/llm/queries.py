@@ -4,13 +4,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, mixing, simhash, token_counts, url_reputation
+from . import bm25, bpe_codec, exact_dedup, mixing, pii, simhash, suffix_dedup, token_counts, toxicity, url_reputation
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    queries = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return bm25.search(docs, queries)
+
+
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -23,10 +30,22 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -35,7 +54,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_reputation, op3_simhash, op4_token_counts, op7_bpe_codec, op9_exact_dedup, op10_source_mix)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bm25_topk, op2_url_reputation, op3_simhash, op4_token_counts, op5_suffix_dedup, op6_toxicity, op7_bpe_codec, op8_pii, op9_exact_dedup, op10_source_mix)}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_dedup": """
