@@ -7,8 +7,8 @@ bracket, run over the table of (source, size, number of documents), which is all
 and does not grow with the number of documents of a size.
 
 Rounding: within a source the sizes go from long to short, and each size takes as many copies as
-bring the running total nearest to the running target; what one size leaves over, shorter ones make
-up. Documents of one size share those copies evenly, in an order drawn from a hash of doc_id.
+bring the running total nearest to the running target, without passing the whole target and without
+leaving more than shorter documents can give; what one size leaves over, shorter ones make up. Documents of one size share those copies evenly, in an order drawn from a hash of doc_id.
 """
 from __future__ import annotations
 
@@ -109,20 +109,25 @@ def size_copies(histogram: DataFrame, solved: DataFrame, cap: int = CAP) -> Data
     z = F.col("size") / F.col("mean_size")
     want = F.when(F.col("target") >= cap * F.col("source_size"), F.lit(float(cap))).when(F.col("target") <= 0, F.lit(0.0)).otherwise(rate(F.col("multiplier"), z, cap)) * F.col("docs") * F.col("size")
     rows = histogram.where("size > 0").withColumnRenamed("source", "s").join(solved, same(F.col("s"), F.col("source")))
-    by_source = rows.groupBy("source", "target").agg(F.sort_array(F.collect_list(F.struct("size", "docs", want.alias("want"))), asc=False).alias("steps"))
+    by_source = rows.groupBy("source", "target").agg(F.sort_array(F.collect_list(F.struct("size", "docs", want.alias("want"))), asc=False).alias("steps"), F.sum(F.col("size") * F.col("docs")).alias("words"))
+
+    def copies(state: Column, x: Column) -> Column:
+        lack = F.col("target") - state["took"]
+        below = cap * (state["words"] - x["size"] * x["docs"])  # what the shorter documents can still give
+        most = F.floor(lack / x["size"])
+        least = F.ceil((lack - below) / x["size"])
+        least = F.when((least > most) & (least * x["size"] - lack > lack - below - most * x["size"]), most).otherwise(least)
+        near = F.round((state["want"] + x["want"] - state["took"]) / x["size"])
+        return F.greatest(F.lit(0).cast("long"), F.least(cap * x["docs"], F.greatest(F.least(near, most), least).cast("long")))
 
     def step(state: Column, x: Column) -> Column:
-        due = state["want"] + x["want"]
-        copies = F.greatest(F.lit(0).cast("long"), F.least(cap * x["docs"], F.round((due - state["took"]) / x["size"]).cast("long")))
-        return F.struct(due.alias("want"), (state["took"] + copies * x["size"]).alias("took"), copies.alias("copies"))
-
-    # A running state per size: the array of states is built by aggregate, one struct appended at a time.
-    folded = F.aggregate(
-        "steps",
-        F.struct(F.lit(0.0).alias("want"), F.lit(0).cast("long").alias("took"), F.array().cast("array<bigint>").alias("copies")),
-        lambda acc, x: F.struct(
-            step(acc, x)["want"].alias("want"), step(acc, x)["took"].alias("took"), F.concat(acc["copies"], F.array(step(acc, x)["copies"])).alias("copies")),
-    )
+        n = copies(state, x)
+        return F.struct(
+            (state["want"] + x["want"]).alias("want"), (state["took"] + n * x["size"]).alias("took"),
+            (state["words"] - x["size"] * x["docs"]).alias("words"), F.concat(state["copies"], F.array(n)).alias("copies"))
+
+    start = F.struct(F.lit(0.0).alias("want"), F.lit(0).cast("long").alias("took"), F.col("words").alias("words"), F.array().cast("array<bigint>").alias("copies"))
+    folded = F.aggregate("steps", start, step)
     return by_source.select("source", F.explode(F.arrays_zip("steps", folded["copies"].alias("copies"))).alias("x")).select(
         "source", F.col("x.steps.size").alias("size"), F.col("x.steps.docs").alias("docs"), F.col("x.copies").alias("copies"))
 
