@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 #: The ligatures that search expands, and what for.
 LIGATURES = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"))
-SOFT_HYPHEN = "­"
+SOFT_HYPHEN = "\u00ad"
 #: What separates whole words besides white space and control characters.
 BOUNDARY = "[\\s\\p{Cntrl}.,;:!?()\\[\\]{}\"'\\-/\\\\]"
 #: Private-use characters; a text with a tenth of them, or with a replacement character, is unreliable.
-PRIVATE_USE = "[-]"
+PRIVATE_USE = "[\uE000-\uF8FF]"
 
 
 def normalize(text: Column) -> Column:
@@ -70,7 +70,7 @@ def byte_offset(text: Column, at: Column) -> Column:
 def is_reliable(text: Column) -> Column:
     """Empty texts are; texts with U+FFFD or with a tenth of private-use characters aren't."""
     private = F.length(text) - F.length(F.regexp_replace(text, PRIVATE_USE, ""))
-    return (F.length(text) == 0) | ((F.instr(text, "�") == 0) & (F.try_divide(private, F.length(text)) < 0.1))
+    return (F.length(text) == 0) | ((F.instr(text, "\ufffd") == 0) & (F.try_divide(private, F.length(text)) < 0.1))
 
 
 def html_escape(text: Column) -> Column:

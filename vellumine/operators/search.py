@@ -10,7 +10,7 @@ from ..functions.text import byte_offset, hit_count, hits, is_reliable, normaliz
 def prepared(term: str, case_sensitive: bool) -> str:
     if case_sensitive:
         return term
-    out = term.lower().replace("­", "")
+    out = term.lower().replace("\u00ad", "")
     for one, many in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
         out = out.replace(one, many)
     return out
