@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vellumine.operators import drawing, jobs, reading
 from vellumine.plans import batch
+from vellumine.sources import pdf
 
 
 def test_lines_hang_on_their_first_glyph(spark):
@@ -57,3 +58,37 @@ def test_batch(spark):
     for bad in ("[fly]", "[extract]\nfirst = 1", "[split]\nsize = x", "loose line", "size = 2"):
         with pytest.raises(ValueError):
             batch.parse(bad)
+
+
+def test_character_maps():
+    cmap = b"beginbfchar <01> <0041> <02> <00660069> endbfchar beginbfrange <10> <12> <0061> <20> <21> [<0078> <0079>] endbfrange"
+    assert pdf.to_unicode(cmap) == {1: "A", 2: "fi", 0x10: "a", 0x11: "b", 0x12: "c", 0x20: "x", 0x21: "y"}
+
+
+def tagged(content, structure, fonts=b""):
+    objects = {
+        1: b"<< /Type /Catalog /Pages 2 0 R /MarkInfo << /Marked true >> /StructTreeRoot 5 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>",
+        3: b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << /F1 9 0 R >> >> >>", 4: b"<< /Length %d >>\nstream\n%s\nendstream" % (len(content), content),
+        5: b"<< /Type /StructTreeRoot /K [6 0 R 7 0 R] >>", **structure, 9: fonts or b"<< /Type /Font /Subtype /Type1 >>",
+    }
+    return pdf.File(pdf.append(b"%PDF-1.7\n", objects, b"/Root 1 0 R", None))
+
+
+def test_tagged_text_is_read_in_structure_order():
+    content = b"BT /F1 9 Tf /P << /MCID 1 >> BDC (second ) Tj [(pa) -20 (rt)] TJ EMC /Artifact BMC (page 1) Tj EMC /H1 << /MCID 0 >> BDC (first) Tj EMC ET"
+    f = tagged(content, {6: b"<< /S /H1 /Pg 3 0 R /K 0 >>", 7: b"<< /S /Sect /Pg 3 0 R /K [8 0 R << /S /Figure /Alt (a map) >> << /Type /MCR /MCID 5 >>] >>", 8: b"<< /S /P /Pg 3 0 R /K [1 7 0 R] >>"})
+    r = pdf.Reader(f)
+    assert [(b["page"], b["element"], b["text"]) for b in r.blocks()] == [(0, "H1", "first"), (0, "P", "second part"), (0, "Figure", "[Figure: a map]")]
+    assert r.missing == 1 and not r.unreliable and f.summary()["is_tagged"]
+
+
+def test_text_without_a_map_is_unreliable():
+    structure = {6: b"<< /S /P /Pg 3 0 R /K 0 >>", 7: b"<< /S /P >>"}
+    r = pdf.Reader(tagged(b"/P << /MCID 0 >> BDC /F1 9 Tf <00410042> Tj EMC", structure, b"<< /Type /Font /Subtype /Type0 >>"))
+    assert [b["text"] for b in r.blocks()] == ["\ufffd\ufffd"] and r.unreliable
+
+
+def test_signatures():
+    sig = b"<< /Type /Sig /ByteRange [0 10 20 5] /Contents <DEADBEEF> /Name (Ann) /Reference [<< /TransformMethod /DocMDP /TransformParams << /P 2 >> >>] >>"
+    f = pdf.File(pdf.append(b"%PDF-1.7\n", {1: b"<< /Type /Catalog >>", 2: sig, 3: b"<< /Type /Sig >>"}, b"/Root 1 0 R", None))
+    assert [(s["byte_range"], s["contents"], s["name"], s["level"]) for s in pdf.signatures(f)] == [([0, 10, 20, 5], b"\xde\xad\xbe\xef", "Ann", 2), ([], b"", "", None)]

@@ -525,6 +525,196 @@ class File:
         return out
 
 
+def to_unicode(cmap: bytes) -> dict[int, str]:
+    """Codes to text from bfchar and bfrange parts of a character map."""
+    out: dict[int, str] = {}
+    wide = lambda h: bytes.fromhex((h + "0" * (-len(h) % 4))).decode("utf-16-be", "replace")
+    clean = lambda b: re.sub(rb"\s", b"", b).decode("latin-1")
+    for part in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+        for code, to in re.findall(rb"<([0-9A-Fa-f\s]+)>\s*<([0-9A-Fa-f\s]+)>", part):
+            out[int(clean(code), 16)] = wide(clean(to))
+    for part in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+        for low, high, to, many in re.findall(rb"<([0-9A-Fa-f\s]+)>\s*<([0-9A-Fa-f\s]+)>\s*(?:<([0-9A-Fa-f\s]+)>|\[(.*?)\])", part, re.S):
+            first, last = int(clean(low), 16), min(int(clean(high), 16), int(clean(low), 16) + 0xFFFF)
+            if to:
+                start = wide(clean(to))
+                for i in range(first, last + 1):
+                    out[i] = start[:-1] + chr(min(ord(start[-1]) + i - first, 0x10FFFF))
+            else:
+                for i, one in enumerate(re.findall(rb"<([0-9A-Fa-f\s]+)>", many)):
+                    if first + i <= last:
+                        out[first + i] = wide(clean(one))
+    return out
+
+
+_OPERAND = re.compile(rb"\s*(/[^\s/<>\[\]()]*|[-+]?\d*\.?\d+|[A-Za-z'\"*]+|<<|\(|<|\[)")
+
+
+def marked_text(content: bytes, fonts: dict[str, tuple[dict[int, str] | None, int]]) -> tuple[dict[int, str], bool]:
+    """Text by marked-content id, and whether all of it could be decoded. fonts: name to (map, bytes a code)."""
+    out: dict[int, str] = {}
+    open_: list[int | None] = []
+    stack: list[bytes] = []
+    font: tuple[dict[int, str] | None, int] = (None, 1)
+    sure, at = True, 0
+
+    def shown(raw: bytes) -> str:
+        nonlocal sure
+        data = raw_bytes(raw)
+        known, size = font
+        if known is None and size == 1:
+            sure = sure and all(b < 0x80 for b in data)
+            return data.decode("latin-1")
+        codes = [int.from_bytes(data[i : i + size], "big") for i in range(0, len(data), size)]
+        if known is None or any(c not in known for c in codes):
+            sure = False
+        return "".join((known or {}).get(c, "\ufffd") for c in codes)
+
+    while m := _OPERAND.match(content, at):
+        head, at = m[1], m.end()
+        if head == b"<<":
+            body = dictionary(content, m.start(1))
+            stack.append(body)
+            at = m.start(1) + len(body)
+        elif head == b"(":
+            at = string_end(content, m.start(1))
+            stack.append(content[m.start(1) : at])
+        elif head in (b"<", b"["):
+            raw = token(content, m.start(1))
+            stack.append(raw)
+            at = m.start(1) + max(1, len(raw))
+        elif head[:1] == b"/" or head[:1].isdigit() or head[:1] in b"+-.":
+            stack.append(head)
+        else:
+            if head in (b"BDC", b"BMC"):
+                open_.append(integer(value(stack[-1], "MCID")) if head == b"BDC" and stack and stack[-1][:2] == b"<<" else None)
+            elif head == b"EMC" and open_:
+                open_.pop()
+            elif head == b"Tf" and len(stack) >= 2:
+                font = fonts.get(stack[-2].decode("latin-1").lstrip("/"), (None, 1))
+            elif head in (b"Tj", b"TJ", b"'", b'"') and stack:
+                parts = [stack[-1]] if stack[-1][:1] in (b"(", b"<") else re.findall(rb"\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>", stack[-1])
+                inside = next((i for i in reversed(open_) if i is not None), None)
+                if inside is not None:
+                    out[inside] = out.get(inside, "") + "".join(map(shown, parts))
+            if head in (b"BDC",) and open_ and open_[-1] is not None:
+                out.setdefault(open_[-1], "")
+            stack = []
+    return out, sure
+
+
+def raw_bytes(raw: bytes) -> bytes:
+    """The bytes of a string object, without any reading as text."""
+    if raw[:1] == b"<":
+        digits = re.sub(rb"[^0-9A-Fa-f]", b"", raw)
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    mark = text(b"(" + b" " + raw[1:])  # the blank keeps a UTF-16 mark from being taken as one
+    return mark[1:].encode("latin-1")
+
+
+class Reader:
+    """The reading order of a tagged file."""
+
+    def __init__(self, file: File):
+        self.file, self.pages = file, {n: i for i, n in enumerate(file.pages())}
+        self.content: dict[int, dict[int, str]] = {}
+        self.unreliable = False
+        self.missing = 0
+
+    def fonts(self, page: int) -> dict[str, tuple[dict[int, str] | None, int]]:
+        f, out = self.file, {}
+        names = f.resolved(value(f.resolved(value(f.object(page), "Resources")), "Font"))
+        for name, n in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", names):
+            body = f.object(int(n))
+            entry, known = f.table.get(reference(value(body, "ToUnicode")) or 0), None
+            if entry is not None and entry.container is None:
+                try:
+                    known = to_unicode(f.stream_at(entry.offset))
+                except ValueError as e:
+                    f.events.append(("cmap-unreadable", str(e)))
+            out[name.decode("latin-1")] = (known, 2 if b"/Type0" in body else 1)
+        return out
+
+    def of(self, page: int) -> dict[int, str]:
+        if page not in self.content:
+            f, data = self.file, b""
+            for m in _REF.finditer(value(f.object(page), "Contents") or b""):
+                entry = f.table.get(int(m[1]))
+                try:
+                    data += f.stream_at(entry.offset) + b"\n" if entry is not None and entry.container is None else b""
+                except ValueError as e:
+                    f.events.append(("content-unreadable", str(e)))
+            self.content[page], sure = marked_text(data, self.fonts(page))
+            self.unreliable = self.unreliable or not sure
+        return self.content[page]
+
+    def blocks(self, depth: int = 128) -> list[dict]:
+        """page (from 0), element and text in structure order; neighbours of one element occurrence are one block."""
+        f = self.file
+        root = f.resolved(value(f.object(f.root or 0), "StructTreeRoot"))
+        out: list[dict] = []
+        seen: set[int] = set()
+        stack: list[tuple[bytes, str, int | None, int, object]] = [(value(root, "K") or b"", "", None, 0, None)]
+        while stack:
+            raw, tag, page, level, owner = stack.pop()
+            raw = raw.strip()
+            if level > depth:
+                continue
+            if raw[:1] == b"[":
+                inner, i, items = raw[1:-1], 0, []
+                while i < len(inner):
+                    if inner[i] in _WHITE:
+                        i += 1
+                        continue
+                    t = token(inner, i)
+                    items.append(t)
+                    i = inner.find(t, i) + max(1, len(t))
+                stack += [(t, tag, page, level + 1, owner) for t in reversed(items)]
+                continue
+            n = reference(raw)
+            if n is not None:
+                if n in seen:
+                    continue
+                seen.add(n)
+                raw, owner = f.object(n), n
+            mcid = integer(raw)
+            if mcid is None and value(raw, "MCID") is not None:
+                mcid, page = integer(value(raw, "MCID")), reference(value(raw, "Pg")) or page
+            if mcid is not None:
+                held = self.of(page).get(mcid) if page in self.pages else None
+                if held is None:
+                    self.missing += 1
+                elif held:
+                    if out and out[-1]["owner"] == owner and out[-1]["page"] == self.pages[page]:
+                        out[-1]["text"] += held
+                    else:
+                        out.append({"page": self.pages[page], "element": tag, "text": held, "owner": owner})
+            elif raw[:2] == b"<<":
+                own = (value(raw, "S") or b"").decode("latin-1").lstrip("/") or tag
+                page = reference(value(raw, "Pg")) or page
+                alt = text(value(raw, "Alt"))
+                if alt:
+                    out.append({"page": self.pages.get(page, 0), "element": own, "text": f"[{own}: {alt}]", "owner": owner})
+                elif value(raw, "K") is not None:
+                    stack.append((value(raw, "K"), own, page, level + 1, owner))
+        return [{k: v for k, v in b.items() if k != "owner"} for b in out]
+
+
+def signatures(file: File) -> list[dict]:
+    """Signature dictionaries: byte range, contents, signer, reason, time and permission level (None where not said)."""
+    out = []
+    for n, e in sorted(file.table.items()):
+        body = file.object(n) if e.in_use else b""
+        if value(body, "Type") != b"/Sig" and not (value(body, "ByteRange") and value(body, "Contents")):
+            continue
+        level = re.search(rb"/DocMDP\b.*?/P\s+(\d)", body, re.S) or re.search(rb"/P\s+(\d).*?/DocMDP\b", body, re.S)
+        out.append({
+            "obj": n, "byte_range": [int(x) for x in re.findall(rb"\d+", value(body, "ByteRange") or b"")], "contents": raw_bytes(value(body, "Contents") or b"<>"),
+            "name": text(value(body, "Name")), "reason": text(value(body, "Reason")), "time": text(value(body, "M")), "level": int(level[1]) if level else None,
+        })
+    return out
+
+
 def literal(s: str) -> bytes:
     """A string object; UTF-16 where Latin-1 doesn't reach or where its mark could be misread."""
     try:
