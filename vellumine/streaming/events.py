@@ -40,9 +40,9 @@ def complete(stream: DataFrame, name: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     stream.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    rows = spark.read.schema(stream.schema).option("basePath", out).parquet(f"{out}/batch=*")
-    newest = F.max("batch").over(Window.partitionBy())
-    return spark.read.option("basePath", out).parquet(f"{out}/batch=*").withColumn("_newest", newest).where("batch = _newest").select(*rows.columns)
+    rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    newest = rows.agg(F.max("batch").alias("newest"))  # one row
+    return rows.join(F.broadcast(newest), F.col("batch") == F.col("newest"), "left_semi").select(*stream.columns)
 
 
 def windows(events: DataFrame, length: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
