@@ -32,10 +32,10 @@ def field_validation(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(M.violations(value, F.col("p_size") % 2 == 0, F.lit(12), F.lit(22)), ";").alias("broken"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, round((l_extendedprice * (1 - l_discount) + -l_tax * 2) / nullif(l_quantity - 10, 0), 1) AS result FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, (l_extendedprice * (1 - l_discount) + -l_tax * 2) / nullif(l_quantity - 10, 0) AS result FROM lineitem")
 def expression_columns(spark, sf_dir):
     e = M.as_column('(l_extendedprice * (1 - getField("l_discount").value) + -l_tax * 2) / (l_quantity - 10)')
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(e, 1).alias("result"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", e.alias("result"))
 
 
 @query("SELECT l_orderkey AS form, round(sum(l_quantity), 4) AS total, round(avg(l_quantity), 4) AS mean, min(l_quantity) AS least, max(l_quantity) AS most, round(ln(product(l_quantity)), 6) AS log_product FROM lineitem GROUP BY l_orderkey")
