@@ -1,6 +1,7 @@
 """Helpers that the training-data operators share."""
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,23 @@ def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFram
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that written() made, once nothing reads it any more, and lets Spark drop shuffle files of finished steps."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    free_shuffles(spark)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps now instead of at the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
