@@ -275,6 +275,19 @@ def test_pii(spark, empty):
     assert pii.redact("call +1 415 555 1234 now", pii.base_spans("call +1 415 555 1234 now")) == "call <phone> now"
 
 
+def test_pii_marks_without_digits():
+    for t in ("write to jane.roe (at) example.com please", "jane.roe [AT] example.com", "jane(At)example.com", "jane at example dot com", "jane @ x", "no mark here", "٣٣٣ (at)", ""):
+        want = [(m.start(), m.end()) for m in pii._MARK.finditer(t)]
+        assert pii.marks(t) == want and bool(want) == ("no mark" not in t and t != ""), t
+    rng = random.Random(3)
+    name = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    weights = pii.fit_weights([x for i in range(150) for x in pii.training_windows(f"please write to {name(5)}.{name(4)}@{name(6)}.com or call me", i)])
+    for t in ("write to jane.roe (at) example.com please", "write to jane.roe [at] example [dot] com please"):
+        found = [t[a:b] for a, b, k in pii.added_spans(t, pii.base_spans(t), weights) if k == "email"]
+        assert found and found == [(t + " 7")[a:b] for a, b, k in pii.added_spans(t + " 7", [], weights) if k == "email"], t
+
+
+
 def test_segments_are_chosen_together():
     weights = np.zeros((len(pii.KINDS), len(pii.FEATURES)))
     weights[0, 0] = weights[1, 0] = 1.0

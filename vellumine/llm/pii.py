@@ -106,6 +106,8 @@ def base_spans(text: str) -> list[Span]:
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
 _MARK = re.compile(r"@|\[at\]|\(at\)|(?:[0-9][ ().:/-]{0,3}){7,}|[0-9]{1,3}(?: ?\. ?[0-9]{1,3}){3}|\bat\b(?=.{1,40}\bdot\b)", re.I)
+#: Each match of _MARK holds a digit or one of these, case ignored.
+_NEEDED = ("@", "[at]", "(at)", "dot")
 _SIGN = re.compile(r"@|[\[(]\s*at\s*[\])]", re.I)
 _SPELLED_AT = re.compile(r"\s*(?:@|[\[(]\s*at\s*[\])]|\bat\b)\s*", re.I)
 _SPELLED_DOT = re.compile(r"\s*(?:\.|[\[(]\s*dot\s*[\])]|\bdot\b)\s*", re.I)
@@ -117,7 +119,7 @@ FEATURES = (
 
 
 def marks(text: str) -> list[tuple[int, int]]:
-    if "@" not in text and "dot" not in text.lower() and not _DIGITS.search(text):
+    if not _DIGITS.search(text) and not any(x in text.lower() for x in _NEEDED):
         return []
     return [(m.start(), m.end()) for m in _MARK.finditer(text)]
 
