@@ -1,0 +1,66 @@
+"""The stages of corpus_pipeline against plain Python."""
+from __future__ import annotations
+
+import random
+
+import corpus_pipeline as pipeline
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], DOCS).repartition(3)
+
+
+def shingles(t):
+    w = (t or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def brute_roots(texts):
+    """The first place of each text's component, all pairs compared."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j in range(len(texts)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return [top(i) for i in range(len(texts))]
+
+
+def near_texts():
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    out = [None, "", "one", "ONE", "a b c d", "A b c d"]
+    for _ in range(40):
+        base = [rng.choice(words) for _ in range(rng.randint(20, 500))]
+        out.append(" ".join(base))
+        for _ in range(3):  # a chain: each link is a near copy of the one before it, or no longer one
+            for _ in range(max(1, round(len(base) * rng.uniform(0.005, 0.03)))):
+                base[rng.randrange(len(base))] = rng.choice(words)
+            out.append(" ".join(base))
+    rng.shuffle(out)
+    return out
+
+
+def test_near_copies_of_the_whole_range(spark):
+    texts = near_texts()
+    want = [i for i, r in enumerate(brute_roots(texts)) if r == i]
+    assert 0.3 * len(texts) < len(want) < 0.8 * len(texts)
+    got = pipeline.drop_near_copies(spark, frame(spark, enumerate(texts)), "").collect()
+    assert sorted(r.doc_id for r in got) == want
+    assert pipeline.drop_near_copies(spark, frame(spark, [(0, "x")]).limit(0), "").collect() == []
+
+
+def test_near_copies_in_dealt_groups(spark, monkeypatch):
+    texts = near_texts()
+    monkeypatch.setattr("vellumine.llm.minhash.BUCKET_CHUNK", 2)
+    monkeypatch.setattr("vellumine.llm.minhash.GROUP_CHUNK", 2)
+    got = pipeline.drop_near_copies(spark, frame(spark, enumerate(texts)), "").collect()
+    assert sorted(r.doc_id for r in got) == [i for i, r in enumerate(brute_roots(texts)) if r == i]

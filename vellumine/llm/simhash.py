@@ -144,9 +144,3 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, blocks: int = BLOCKS, di
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their component: those of its least doc_id. Rows of null id all stay."""
-    dropped = near_dedup(docs).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
