@@ -41,7 +41,7 @@ def filter_threads(comments: DataFrame, author_part: str) -> DataFrame:
 
 
 def summary(comments: DataFrame) -> DataFrame:
-    """thread, summary: the root and, indented, each reply."""
-    line = lambda a, t: F.concat(a, F.lit(": "), F.substring(t, 1, 20))
+    """thread, summary: the root and, indented, each reply, with their whole texts."""
+    line = lambda a, t: F.concat(a, F.lit(": "), t)
     body = F.transform("replies", lambda r: F.concat(F.lit("\n  "), line(r["author"], r["text"])))
     return threads(comments).select("thread", F.concat(line(F.col("root_author"), F.col("root_text")), F.array_join(body, "")).alias("summary"))
