@@ -34,3 +34,37 @@ def rows(spark, folder, name, *columns):
 def test_comment_summary(spark, folder):
     want = [(0, f"user: {TEXTS[0]}\n  assistant: {TEXTS[5]}\n  user: ok"), (1, f"user: {TEXTS[5]}")]
     assert rows(spark, folder, "comment_summary", "thread", "summary") == want
+
+
+def lines_of(text):
+    return text.removesuffix("\n").split("\n") if text else []
+
+
+def test_positional_diff(spark, folder):
+    want = []
+    for pair, before in enumerate(TEXTS):
+        b, a = lines_of(before), lines_of(TEXTS[pair + 1]) if pair + 1 < len(TEXTS) else []
+        for i in range(max(len(b), len(a))):
+            want.append((pair, i, "removed" if i >= len(a) else "added" if i >= len(b) else "same" if a[i] == b[i] else "changed"))
+    assert rows(spark, folder, "positional_diff", "pair", "idx", "kind") == sorted(want)
+
+
+def test_move_pairing(spark, folder):
+    want = []
+    for pair in range(len(TEXTS) - 1):
+        b, a = lines_of(TEXTS[pair]), lines_of(TEXTS[pair + 1])
+        for t in set(b):
+            want += [(pair, t, i, j) for i, j in zip([i for i, x in enumerate(b) if x == t], [j for j, x in enumerate(a) if x == t])]
+    assert any(i >= 20 for _, _, i, _ in want)
+    assert rows(spark, folder, "move_pairing", "pair", "text", "before_idx", "after_idx") == sorted(want)
+
+
+def test_redaction_verification(spark, folder):
+    want = []
+    for i, t in enumerate(TEXTS):
+        li = lines_of(t)
+        pages = [li[k : k + 20] for k in range(0, len(li), 20)] or [None]
+        risks = [p is None or "idiot" in "\n".join(p).lower() for p in pages] + [p is None for p in pages] + [True] * (len(pages) * (i % 3 == 0))
+        want.append((i, len(risks), risks.count(False), risks.count(True), not any(risks)))
+    assert want[2][3] == 2  # the word stands on the first and on the second page
+    assert rows(spark, folder, "redaction_verification", "doc_id", "regions", "confirmed", "risks", "passed") == want

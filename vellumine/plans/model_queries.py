@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..corpus import LINES_SQL, lines, split_lines, table
+from ..corpus import LINES_SQL, PAGE_LINES, lines, split_lines, table
 from ..operators import diff as D
 from ..operators import review as R
 from ..operators import tree as P
@@ -250,9 +250,9 @@ def rotate_crop_pages(spark, sf_dir):
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """First lines of documents against those of the documents numbered one more."""
-    li = lines(table(spark, sf_dir, "documents")).where("page = 0")
-    before = li.select(F.col("doc_id").alias("pair"), F.col("line_index").alias("idx"), "text")
+    """All lines of documents, numbered through their pages, against those of the documents numbered one more."""
+    li = lines(table(spark, sf_dir, "documents"))
+    before = li.select(F.col("doc_id").alias("pair"), (F.col("page") * PAGE_LINES + F.col("line_index")).alias("idx"), "text")
     return before, before.withColumn("pair", F.col("pair") - 1).where("pair >= 0")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..corpus import LINES_SQL, lines, table
+from ..corpus import LINES_SQL, PAGE_LINES, lines, split_lines, table
 from ..operators import compliance as C
 from ..operators import forms as M
 from ..operators import jobs as J
@@ -241,7 +241,10 @@ def redact_lines(spark, sf_dir):
 def redaction_verification(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     li = C.redact(lines(docs), "tion")
-    item = lambda i, kind, sample, d: d.select("doc_id", F.lit(0).alias("page"), F.lit(i).alias("item"), F.lit(kind).alias("kind"), F.lit(sample).alias("sample"))
+    item = lambda i, kind, sample, d: d.select("doc_id", "page", F.lit(i).alias("item"), F.lit(kind).alias("kind"), F.lit(sample).alias("sample"))
+    # Removals are registered for every page; a document without lines has its first page.
+    count = F.coalesce(F.ceil(F.size(split_lines(F.col("text"))) / PAGE_LINES), F.lit(0)).cast("int")
+    docs = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)).alias("page"))
     items = item(1, "text", "tion", docs).unionByName(item(2, "text", "idiot", docs)).unionByName(item(3, "image", "", docs.where("doc_id % 3 = 0")))
     return C.verify_redaction(li, items)
 
