@@ -68,3 +68,27 @@ def test_redaction_verification(spark, folder):
         want.append((i, len(risks), risks.count(False), risks.count(True), not any(risks)))
     assert want[2][3] == 2  # the word stands on the first and on the second page
     assert rows(spark, folder, "redaction_verification", "doc_id", "regions", "confirmed", "risks", "passed") == want
+
+
+def words_of(text):
+    """(place from 1, word) of the words that recognition keeps."""
+    return [(n, w) for n, w in enumerate(text.replace("\n", " ").replace("\t", " ").split(" "), 1) if len(w) >= 3]
+
+
+def test_ocr(spark, folder):
+    kept = {i: words_of(t) for i, t in enumerate(TEXTS) if words_of(t)}
+    assert max(n for n, _ in kept[0]) > 200
+    share = lambda w: len(w) * 7 % 100 / 100
+    want = sorted((i, n, (n - 1) * 40.0, w, share(w)) for i, k in kept.items() for n, w in k)
+    assert rows(spark, folder, "ocr_words", "page", "n", "x", "text", "confidence") == want
+    mean = {i: sum(share(w) for _, w in k) / len(k) for i, k in kept.items()}
+    want = [(i, " ".join(w for _, w in k), "failed" if i % 10 == 0 else "uncertain" if mean[i] < 0.5 else "applied") for i, k in kept.items()]
+    assert rows(spark, folder, "ocr_gate", "page", "full_text", "outcome") == want
+    got = rows(spark, folder, "ocr_text_layer", "page", "n", "x", "font_size")
+    want = sorted((i, n, round((n - 1) * 40 * 612 / 2550, 6), round(max(6, min(24, 36 / len(w.encode()))), 6)) for i, k in kept.items() for n, w in k)
+    assert got == [pytest.approx(x) for x in want]
+
+
+def test_base64_hex_keys(spark, folder):
+    want = [(i, base64.b64encode(t.encode()).decode(), t.encode().hex()) for i, t in enumerate(TEXTS)]
+    assert rows(spark, folder, "base64_hex_keys", "doc_id", "b64", "hexed") == want

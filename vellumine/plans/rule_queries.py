@@ -359,7 +359,7 @@ def plugin_manifests(spark, sf_dir):
 
 
 def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.slice(F.split("text", "[ \n]+"), 1, 5)
+    words = F.split("text", "[ \t\n]+")  # a tab would end the field
     row = F.transform(words, lambda w, i: F.concat_ws("\t", F.lit("5\t1\t1\t1\t1"), (i + 1).cast("string"), (i * 40).cast("string"), F.lit("10\t30\t12"), F.when(F.length(w) < 3, "-1").otherwise((F.length(w) * 7 % 100).cast("string")), w))
     return table(spark, sf_dir, "documents").where("length(text) > 0").select(F.col("doc_id").alias("page"), F.concat(F.lit("header\n"), F.array_join(row, "\n"), F.lit("\nshort\trow")).alias("tsv"))
 

@@ -161,7 +161,7 @@ def pdf_string_escape(spark, sf_dir):
 @query("SELECT doc_id, base64(encode(left(text, 40))) AS b64, lower(hex(encode(left(text, 20)))) AS hexed, lower(hex(encode(source))) || ':' || (doc_id % 7) AS record_key FROM documents")
 def base64_hex_keys(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.base64(F.left("text", F.lit(40)).cast("binary")).alias("b64"), F.lower(F.hex(F.left("text", F.lit(20)).cast("binary"))).alias("hexed"), T.composite_key(F.lower(F.hex(F.col("source").cast("binary"))), F.col("doc_id") % 7).alias("record_key"))
+    return d.select("doc_id", F.replace(F.base64(F.col("text").cast("binary")), F.lit("\r\n"), F.lit("")).alias("b64"), F.lower(F.hex(F.col("text").cast("binary"))).alias("hexed"), T.composite_key(F.lower(F.hex(F.col("source").cast("binary"))), F.col("doc_id") % 7).alias("record_key"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey > 999999 THEN o_orderkey::VARCHAR ELSE lpad(o_orderkey::VARCHAR, 6, '0') END AS bates, regexp_replace(printf('%.4f', o_totalprice / 7), '\\.?0+$', '') AS pdf_number FROM orders")
