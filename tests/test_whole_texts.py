@@ -92,3 +92,11 @@ def test_ocr(spark, folder):
 def test_base64_hex_keys(spark, folder):
     want = [(i, base64.b64encode(t.encode()).decode(), t.encode().hex()) for i, t in enumerate(TEXTS)]
     assert rows(spark, folder, "base64_hex_keys", "doc_id", "b64", "hexed") == want
+
+
+def test_byte_range_digest(spark, folder):
+    want = []
+    for i, t in enumerate(TEXTS):
+        b = t.encode()
+        want.append((i, hashlib.sha256(b"".join(b[o : o + n] for o, n in ((0, 10), (20, 5), (10**9, 5)) if o + n <= len(b))).hexdigest()))
+    assert rows(spark, folder, "byte_range_digest", "doc_id", "digest") == want
