@@ -64,3 +64,12 @@ def test_near_copies_in_dealt_groups(spark, monkeypatch):
     monkeypatch.setattr("vellumine.llm.minhash.GROUP_CHUNK", 2)
     got = pipeline.drop_near_copies(spark, frame(spark, enumerate(texts)), "").collect()
     assert sorted(r.doc_id for r in got) == [i for i, r in enumerate(brute_roots(texts)) if r == i]
+
+
+def test_near_copies_of_repeated_and_null_ids(spark):
+    near = lambda w: (" ".join(f"{w}{i}" for i in range(60)), " ".join(f"{w}{i}" for i in range(59)))
+    (b, b2), (c, c2), (e, e2) = near("b"), near("c"), near("e")
+    rows = [(3, b2), (7, b), (7, "unlike both"), (None, c), (None, c2), (9, "twice"), (9, "twice"), (None, e), (4, e2)]
+    got = [(r.doc_id, r.text) for r in pipeline.drop_near_copies(spark, frame(spark, rows), "").collect()]
+    assert sorted(x for x in got if x[0] is not None) == [(3, b2), (4, e2), (7, "unlike both"), (9, "twice")]
+    assert [x[1] for x in got if x[0] is None] in ([c], [c2])
