@@ -1,9 +1,13 @@
 """The stages of corpus_pipeline against plain Python."""
 from __future__ import annotations
 
+import hashlib
 import random
 
+from tokenizers import Tokenizer
+
 import corpus_pipeline as pipeline
+from vellumine.llm import pretokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -73,3 +77,26 @@ def test_near_copies_of_repeated_and_null_ids(spark):
     got = [(r.doc_id, r.text) for r in pipeline.drop_near_copies(spark, frame(spark, rows), "").collect()]
     assert sorted(x for x in got if x[0] is not None) == [(3, b2), (4, e2), (7, "unlike both"), (9, "twice")]
     assert [x[1] for x in got if x[0] is None] in ([c], [c2])
+
+
+def test_copies(spark):
+    rows = [(1, "same text"), (4, "same text"), (2, "other"), (3, None), (5, "")]
+    want = {}
+    for i, t in rows:
+        want[t or ""] = max(i, want.get(t or "", i))
+    assert sorted(r.doc_id for r in pipeline.drop_copies(spark, frame(spark, rows), "").collect()) == sorted(want.values())
+
+
+def test_run(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = pipeline.run(spark, sf).collect()
+    library = Tokenizer.from_str(pretokens.tokenizer_json())
+    assert got
+    for r in got:
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    kept = sorted({r.doc_id for r in got})
+    assert len({texts[i] for i in kept}) == len(kept)
+    assert brute_roots([texts[i] for i in kept]) == list(range(len(kept)))
