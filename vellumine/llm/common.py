@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +15,11 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or a local one where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    """The folder in spark.checkpoint.dir; a local one where it is unset and all runs on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return (folder or LOCAL_CHECKPOINTS).rstrip("/")
 
 
 def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
@@ -29,11 +33,10 @@ def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFram
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes a table that written() made, once nothing reads it any more, and lets Spark drop shuffle files of finished steps."""
+    """Deletes a table that written() made, once nothing reads it any more."""
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    free_shuffles(spark)
 
 
 def free_shuffles(spark: SparkSession) -> None:
