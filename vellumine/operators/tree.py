@@ -1,30 +1,56 @@
-"""Trees as adjacency lists: closures by recursive SQL, inheritance, leaves and page order."""
+"""Trees as adjacency lists: closures by doubled steps, inheritance, leaves and page order."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import with_checkpoints
+
 DEPTH = 64
 
 
-def closure(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """nodes: node, parent. node, ancestor (itself too), distance; at most depth steps up."""
-    name = f"nodes_{uuid.uuid4().hex}"
-    nodes.select("node", "parent").createOrReplaceTempView(name)
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE up(node, ancestor, distance) AS (
-          SELECT node, node, 0 FROM {name}
-          UNION ALL
-          SELECT up.node, n.parent, up.distance + 1 FROM up JOIN {name} n ON up.ancestor = n.node WHERE n.parent IS NOT NULL AND up.distance < {depth})
-        SELECT * FROM up""")
+def too_deep(depth: int) -> ValueError:
+    return ValueError(f"the tree has a loop or more than {depth} levels below its root")
 
 
-def inherited(nodes: DataFrame, column: str) -> DataFrame:
-    """node, value of the nearest node upwards that has one."""
-    up = closure(nodes).join(nodes.select(F.col("node").alias("ancestor"), column), "ancestor").where(F.col(column).isNotNull())
-    return up.groupBy("node").agg(F.min_by(column, "distance").alias(column))
+def closure(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """nodes: node, parent. node, ancestor (itself too), distance.
+
+    The steps that are joined double in length, so a chain of n steps takes log2(n) rounds. A loop, or a chain of
+    more than depth steps, is an error.
+    """
+    with_checkpoints(nodes.sparkSession)
+    up = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
+    jump = nodes.where("parent IS NOT NULL").select("node", F.col("parent").alias("to")).checkpoint()
+    steps = 1
+    while not jump.isEmpty():
+        if steps > depth:
+            raise too_deep(depth)
+        on = jump.select(F.col("node").alias("at"), "to")
+        up = up.unionByName(up.join(on, F.col("ancestor") == F.col("at")).select("node", F.col("to").alias("ancestor"), (F.col("distance") + steps).alias("distance"))).checkpoint()
+        jump = jump.withColumnRenamed("to", "over").join(on, F.col("over") == F.col("at")).select("node", "to").checkpoint()
+        steps *= 2
+    if steps > depth and not up.where(F.col("distance") > depth).isEmpty():
+        raise too_deep(depth)
+    return up
+
+
+def inherited(nodes: DataFrame, column: str, depth: int = DEPTH) -> DataFrame:
+    """node, value of the nearest node upwards that has one; nodes without any are left out.
+
+    A chain ends at the first value; what is still open jumps over its ancestor's whole way. A loop without a value,
+    or a way of more than some depth steps, is an error.
+    """
+    with_checkpoints(nodes.sparkSession)
+    state = nodes.select("node", F.when(F.col(column).isNull(), F.col("parent")).alias("up"), column).checkpoint()
+    steps = 1
+    while not state.where("up IS NOT NULL").isEmpty():
+        if steps > 2 * depth:
+            raise too_deep(depth)
+        above = state.select(F.col("node").alias("at"), F.col("up").alias("over"), F.col(column).alias("found"))
+        state = state.join(above, F.col("up") == F.col("at"), "left").select("node", F.col("over").alias("up"), F.coalesce(column, "found").alias(column)).checkpoint()
+        steps *= 2
+    return state.where(F.col(column).isNotNull()).select("node", column)
 
 
 def leaf_counts(nodes: DataFrame) -> DataFrame:
@@ -44,15 +70,19 @@ def paths(nodes: DataFrame, title: str) -> DataFrame:
     return up.groupBy("node").agg(F.max("distance").alias("depth"), F.array_join(F.transform(held, lambda x: x["t"]), "/").alias("path"))
 
 
-def reachable(edges: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """edges: src, dst; roots: node. Every node that the roots reach, by rounds of anti-joins."""
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """edges: src, dst; roots: node. Every node that the roots reach, by rounds of anti-joins until none is new."""
+    with_checkpoints(edges.sparkSession)
     seen = frontier = roots.select("node").distinct()
-    for _ in range(depth):
+    rounds = 0
+    while True:
         frontier = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").checkpoint()
         if frontier.isEmpty():
             return seen
+        rounds += 1
         seen = seen.unionByName(frontier)
-    raise RuntimeError(f"more than {depth} steps from the roots")
+        if rounds % 16 == 0:
+            seen = seen.checkpoint()
 
 
 # Page order: pages have doc and page (from 0 on).

@@ -73,7 +73,6 @@ def page_references(spark, sf_dir):
 def blocked_jobs(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("job"))
     deps = p.select("job", F.floor(F.col("job") / 3).alias("needs")).where("needs <> job")
-    spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/vellumine")
     return J.blocked(deps, p.where("job IN (2, 5)"))
 
 

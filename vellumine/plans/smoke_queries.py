@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf, udtf
 
+from ..session import shared_folder
 from ..corpus import table
 from .catalog import query
 
@@ -228,7 +229,7 @@ def smoke_formats(spark, sf_dir):
     """A table through CSV, JSON, ORC, XML and text in the shared folder and back."""
     import uuid
 
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/vellumine'}/formats-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/formats-{uuid.uuid4().hex}"
     df = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     for fmt, options in (("csv", {"header": "true"}), ("json", {}), ("orc", {}), ("xml", {"rowTag": "nation"})):
         df.write.format(fmt).options(**options).save(f"{base}/{fmt}")

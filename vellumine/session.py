@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +22,21 @@ def build_session(app: str = "vellumine", master: str | None = None, shuffle_par
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     return builder.config(map=conf).getOrCreate()
+
+
+#: Used only where the session names no shared folder and all runs on one machine (tests).
+LOCAL_FOLDER = "/tmp/checkpoints/vellumine"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; on a cluster it has to be set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return (folder or LOCAL_FOLDER).rstrip("/")
+
+
+def with_checkpoints(spark: SparkSession) -> None:
+    """Lets checkpoint() write to the shared folder, where no other was chosen before."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import shared_folder
+
 
 def folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/vellumine"
-    return f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
 
 
 def replay(spark: SparkSession, path: str, time: str = "ts") -> DataFrame:
