@@ -135,6 +135,14 @@ def test_bates_width_is_a_minimum(spark):
     assert tuple(r) == ("000001", "1234567", "2.5", "100")
 
 
+def test_names_that_hold_words_of_code():
+    fields = {"evaluation": "2", "requirements": "3", "a": "4", "t": ""}
+    for script, want in (('getField("evaluation").value + 1', "3"), ('this.getField("requirements").value', "3"), ('AFSimple_Calculate("sum", ["a", "evaluation"])', "6"), ("afsimple_calculate('MAX', new Array('a', 'requirements'))", "4")):
+        assert forms.calculate(fields, {"t": script}, ["t"]) == (fields | {"t": want}, [("t", "updated")]), script
+    for script in ('eval("1")', "function f() {}", "event.value", 'AFSimple_Calculate("SUM", [])'):
+        assert forms.calculate(fields, {"t": script}, ["t"])[1][0][1].startswith("error"), script
+
+
 def test_calculations():
     fields = {"a": "10", "b": "5", "zero": "0", "total": "", "twice": ""}
     scripts = {"total": 'AFSimple_Calculate("SUM", new Array("a", "b"));', "twice": 'getField("total").value * 2', "a": "b / zero", "b": "nothing + 1", "zero": 'AFSimple_Calculate("MED", ["a"])'}
@@ -327,3 +335,37 @@ def test_scan_of_a_folder(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes(b"")
     got = {r.path.rpartition("/")[2]: r.page_count_walked for r in pdf.summaries(pdf.read_files(spark, str(tmp_path))).collect()}
     assert got == {"a.pdf": 2, "b.pdf": 0}
+
+
+def chain(spark, n):
+    return spark.createDataFrame([(i, i - 1 if i else None, "x" if i == 0 else None) for i in range(n)], "node long, parent long, v string")
+
+
+def test_deep_trees_are_errors(spark):
+    assert tree.closure(chain(spark, 65)).where("node = 64").count() == 65
+    got = {(r.node, r.ancestor): r.distance for r in tree.closure(chain(spark, 6), 5).collect()}
+    assert got == {(i, j): i - j for i in range(6) for j in range(i + 1)}
+    loop = spark.createDataFrame([(1, 2, None), (2, 3, None), (3, 1, None)], "node long, parent long, v string")
+    for bad, depth in ((chain(spark, 66), 64), (chain(spark, 6), 4), (chain(spark, 6), 3), (loop, 64)):
+        with pytest.raises(ValueError):
+            tree.closure(bad, depth)
+    assert {(r.node, r.v) for r in tree.inherited(chain(spark, 40), "v").collect()} == {(i, "x") for i in range(40)}
+    with pytest.raises(ValueError):
+        tree.inherited(loop, "v")
+
+
+def test_long_chains_of_jobs(spark):
+    n = 70
+    all_jobs = spark.createDataFrame([(i,) for i in range(n + 3)], "job long")
+    deps = spark.createDataFrame([(i, i - 1) for i in range(1, n)] + [(n, n + 1), (n + 1, n), (n + 2, n)], "job long, needs long")
+    assert {r.job: r.level for r in jobs.levels(all_jobs, deps).collect()} == {i: i for i in range(n)} | {n: None, n + 1: None, n + 2: None}
+    assert {r.job for r in jobs.blocked(deps, spark.createDataFrame([(0,)], "job long")).collect()} == set(range(1, n))
+
+
+def test_run_states(spark):
+    all_jobs = spark.createDataFrame([(i, i != 4) for i in range(1, 10)], "job long, idempotent boolean")
+    deps = spark.createDataFrame([(2, 1), (3, 2), (6, 5), (7, 1), (9, 8)], "job long, needs long")
+    events = spark.createDataFrame([(1, 1, 1, "started"), (1, 2, 2, "succeeded"), (2, 3, 1, "crashed"), (4, 1, 1, "crashed"), (5, 1, 1, "started"), (5, 2, 2, "failed"), (8, 1, 1, "crashed"), (8, 2, 2, "started"), (8, 2, 3, "crashed")], "job long, ts long, seq long, kind string")
+    got = {r.job: (r.state, r.reason) for r in jobs.run_states(all_jobs, deps, events).collect()}
+    lost = ("failed", "dependency did not complete")
+    assert got == {1: ("succeeded", None), 2: ("ready", None), 3: ("pending", None), 4: ("failed", "worker crashed"), 5: ("failed", "failed"), 6: lost, 7: ("ready", None), 8: ("failed", "worker crashed"), 9: lost}

@@ -57,20 +57,28 @@ def import_values(fields: DataFrame, values: DataFrame) -> DataFrame:
     return rows.select("name", F.coalesce("new", "value").alias("value"), (F.col("new").isNotNull() & ~F.col("new").eqNullSafe(F.col("value"))).alias("changed"))
 
 
-_TOKEN = re.compile(r'\s*(?:(\d+(?:\.\d*)?|\.\d+)|getField\(\s*["\']([^"\']+)["\']\s*\)(?:\.value)?|([A-Za-z_]\w*)|([-+*/()]))')
-#: Parts of scripts that the evaluator refuses wherever they stand.
-REFUSED = ("app.", "doc.", "function", "while", "for(", "eval", "import", "require", "=>", ";")
+_TOKEN = re.compile(r'\s*(?:(\d+(?:\.\d*)?|\.\d+)|(?:this\.)?getField\(\s*["\']([^"\']+)["\']\s*\)(?:\.value)?|([A-Za-z_]\w*)|([-+*/()]))')
+#: Parts of scripts, lower-cased, that are refused wherever they stand.
+REFUSED = ("app.", "this.export", "net.", "util.printd", "doc.", "event.", "xmlhttp", "eval(", "function ")
+#: Operations of the simple calculation.
+OPERATIONS = ("SUM", "PRD", "AVG", "MIN", "MAX")
 
 
 class CalculationError(ValueError):
     pass
 
 
+def refuse(text: str) -> None:
+    """An error for scripts that reach beyond calculation."""
+    low = text.lower()
+    for part in REFUSED:
+        if part in low:
+            raise CalculationError(f"unsupported: {part.strip()}")
+
+
 def parse(text: str) -> tuple:
     """Numbers, fields, + - * / and parentheses as nested tuples; never evaluated as code."""
-    low = text.lower()
-    if any(x in low for x in REFUSED):
-        raise CalculationError("unsupported")
+    refuse(text)
     tokens, at = [], 0
     while at < len(text.rstrip()):
         m = _TOKEN.match(text, at)
@@ -154,14 +162,33 @@ def as_column(text: str) -> Column:
     return build(parse(text))
 
 
-SIMPLE = re.compile(r'AFSimple_Calculate\(\s*["\'](\w+)["\']\s*,\s*(?:new Array\s*\(|\[)([^)\]]*)[)\]]\s*\)\s*;?\s*$')
+_SIMPLE = re.compile(r"afsimple_calculate", re.I)
+_QUOTED = re.compile(r"""(["'])(.*?)\1""")
+
+
+def simple_call(script: str) -> tuple[str, list[str]] | None:
+    """Operation and field names of a simple calculation, None for any other script. Case doesn't matter.
+
+    The operation is the first of OPERATIONS that stands in quotes; every other quoted string names a field.
+    """
+    if not _SIMPLE.search(script):
+        return None
+    quoted = [m[2] for m in _QUOTED.finditer(script)]
+    asked = {q.upper() for q in quoted}
+    operation = next((o for o in OPERATIONS if o in asked), None)
+    if operation is None:
+        raise CalculationError("unsupported")
+    names = [q for q in quoted if q.upper() not in OPERATIONS]
+    if not names:
+        raise CalculationError("no field names")
+    return operation, names
 
 
 def simple(operation: str, values: list[float]) -> float:
     kinds = {"SUM": sum, "PRD": math.prod, "AVG": lambda v: sum(v) / len(v) if v else 0.0, "MIN": lambda v: min(v, default=math.inf), "MAX": lambda v: max(v, default=-math.inf)}
-    if operation not in kinds:
+    if operation.upper() not in kinds:
         raise CalculationError("unsupported")
-    return float(kinds[operation](values))
+    return float(kinds[operation.upper()](values))
 
 
 def number_text(value: float) -> str:
@@ -184,13 +211,13 @@ def calculate(fields: dict[str, str], scripts: dict[str, str], order: list[str],
             except ValueError:
                 numbers[k] = 0.0
         try:
-            m = SIMPLE.match(script.strip())
-            if m:
-                names = [x.strip().strip("\"'") for x in m[2].split(",") if x.strip()]
-                for x in names:
+            refuse(script)
+            call = simple_call(script)
+            if call:
+                for x in call[1]:
                     if x not in numbers:
                         raise CalculationError(f"no field {x}")
-                result = simple(m[1], [numbers[x] for x in names])
+                result = simple(call[0], [numbers[x] for x in call[1]])
             else:
                 result = evaluate(parse(script), numbers)
         except CalculationError as e:
