@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from vellumine.operators import drawing, jobs, reading
+from vellumine.operators import appearance, drawing, jobs, reading
 from vellumine.plans import batch
 from vellumine.sources import pdf
 
@@ -55,6 +55,13 @@ def test_batch(spark):
     assert [r.ok for r in results] == [True] * 3
     _, results = batch.run(pages, batch.parse("[rotate]\ndegrees = 45\n[split]\nsize = 2"))
     assert [(r.kind, r.ok) for r in results] == [("rotate", False)]
+    # Pages that a document doesn't have, and what fails only when it is computed, stop the run.
+    for text in ("[delete]\npages = 2,6", "[extract]\nfirst = 1\nlast = 6", "[move]\npages = 1\nto = 9", "[insert-blank]\nat = 99"):
+        out, results = batch.run(pages, batch.parse(text + "\n[split]\nsize = 2"))
+        assert [r.ok for r in results] == [False] and out.count() == 5, text
+    failing = F.udf(lambda x: 1 // 0, "int")
+    _, results = batch.run(pages.withColumn("rotation", failing("page")), batch.parse("[rotate]\ndegrees = 90\n[split]\nsize = 2"))
+    assert [r.ok for r in results] == [False]
     for bad in ("[fly]", "[extract]\nfirst = 1", "[split]\nsize = x", "loose line", "size = 2"):
         with pytest.raises(ValueError):
             batch.parse(bad)
@@ -92,3 +99,51 @@ def test_signatures():
     sig = b"<< /Type /Sig /ByteRange [0 10 20 5] /Contents <DEADBEEF> /Name (Ann) /Reference [<< /TransformMethod /DocMDP /TransformParams << /P 2 >> >>] >>"
     f = pdf.File(pdf.append(b"%PDF-1.7\n", {1: b"<< /Type /Catalog >>", 2: sig, 3: b"<< /Type /Sig >>"}, b"/Root 1 0 R", None))
     assert [(s["byte_range"], s["contents"], s["name"], s["level"]) for s in pdf.signatures(f)] == [([0, 10, 20, 5], b"\xde\xad\xbe\xef", "Ann", 2), ([], b"", "", None)]
+
+
+def test_text_of_all_show_operators():
+    odd: list = []
+    content = b"BT /F1 9 Tf 12 TL 0 700 Td [(hel) -20 (lo)] TJ T* <68656c6c6f> Tj (next) ' 1 2 (third) \" 0 -12 Td [(a) -300 (b)] TJ 50 0 Td (c) Tj ET BI /W 1 ID \x00(( EI q 1 0 0 1 0 99 cm (up) Tj Q % c ) c\n(down) Tj"
+    assert pdf.text_lines(content, {}, odd) == ["hello", "hello", "next", "third", "a b c", "up", "down"] and odd == []
+    assert pdf.text_lines(b"} (x) Tj", {}, odd) == ["x"] and odd == [("content-odd", "1 bytes")]
+    font = {"F": ({1: "x", 2: "yz"}, 2)}
+    odd = []
+    assert pdf.text_lines(b"/F 1 Tf <00010002> Tj 0 -20 Td <0009> Tj", font, odd) == ["xyz", "\ufffd"] and odd == [("text-undecodable", "1 strings")]
+
+
+def test_boxes_turns_and_loops():
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Kids [3 0 R 4 0 R 2 0 R] /MediaBox [9 0 R 0 300 10 0 R] /Rotate 450 >>", 3: b"<< /Parent 2 0 R >>", 4: b"<< /Parent 2 0 R /CropBox [0 0 100 50] /Rotate 7 >>", 9: b"0", 10: b"400.5"}
+    for data in (pdf.append(b"%PDF-1.7\n", objects, b"/Root 1 0 R", None), pdf.compact(objects, b"/Root 1 0 R")):
+        f = pdf.File(data)
+        assert [tuple(m.values()) for m in f.page_metas()] in ([(0, 400.5, 300.0, 90), (1, 100.0, 50.0, 0)], [(0, 792.0, 612.0, 90), (1, 100.0, 50.0, 0)])
+        assert ("page-tree-loop", "2") in f.events
+
+
+def test_rewrites_hold_one_revision():
+    data = pdf.write([["one"], ["two (endobj)"]], compress=False)
+    data = pdf.incremental(data, {50: b"(orphan)"})
+    clean = pdf.latest_only(data)
+    assert pdf.File(clean).page_texts() == [["one"], ["two (endobj)"]] and len(pdf.File(clean).revisions()) == 1 and b"orphan" not in clean
+    signed = pdf.incremental(data, {51: b"<< /Type /Sig /ByteRange [0 1 2 3] >>"})
+    with pytest.raises(ValueError, match="signatures"):
+        pdf.latest_only(signed)
+    assert pdf.latest_only(signed, discard_signatures=True)
+    with pytest.raises(ValueError, match="encrypted"):
+        pdf.latest_only(pdf.append(data, {60: b"1"}, b"/Root 1 0 R /Encrypt 60 0 R", max(pdf.File(data).sections)))
+
+
+def test_appearances():
+    a = appearance.appearance
+    assert a("squiggly", (0, 0, 16, 10), (1, 0, 0)) == b"1.000 0.000 0.000 rg\n0.0 0.0 16.0 10.0 re f\n1.000 0.000 0.000 rg\n1 w\n0.0 2.0 m 4.0 5.0 l 8.0 1.0 l 16.0 2.0 l S\n"
+    assert a("ellipse", (0, 0, 20, 10)).splitlines()[2:] == [b"10.0 0.0 m", b"15.5 0.0 20.0 2.2 20.0 5.0 c", b"20.0 7.8 15.5 10.0 10.0 10.0 c", b"4.5 10.0 0.0 7.8 0.0 5.0 c", b"0.0 2.2 4.5 0.0 10.0 0.0 c S"]
+    assert a("arrow", (0, 0, 1, 1), strokes=[[(0, 0), (10, 0)]]).splitlines()[-1] == b"10.0 0.0 m 1.2 4.8 l 1.2 -4.8 l f"
+    assert a("line", (0, 0, 1, 1), strokes=[[(0, 0)]]) == b"" == a("polygon", (0, 0, 1, 1))
+    assert a("ink", (0, 0, 1, 1), border=2, strokes=[[(1, 2), (3, 4)], [], [(5, 6)]]).splitlines()[1:] == [b"2.0 w", b"1 J", b"1 j", b"1.0 2.0 m", b"3.0 4.0 l", b"S", b"5.0 6.0 m", b"S"]
+    assert a("polygon", (0, 0, 1, 1), strokes=[[(1, 2), (3, 4)]]).endswith(b"l\nh S\n") and a("polyline", (0, 0, 1, 1), strokes=[[(1, 2), (3, 4)]]).endswith(b"l\nS\n")
+    assert b"(a \\(b\\) \\\\) Tj" in a("freetext", (0, 0, 50, 20), text="a (b) \\") and b"BT" not in a("stamp", (0, 0, 1, 1))
+    with pytest.raises(ValueError):
+        a("caret", (0, 0, 1, 1))
+    w = appearance.widget
+    assert w("checkbox", 10, 4, "Yes").splitlines()[1:] == [b"0 0 10.0 8.0 re f", b"0 0 0 RG", b"1 w", b"0 0 10.0 8.0 re S", b"0 0 0 RG", b"1.5 w", b"2.0 4.0 m", b"4.0 2.0 l", b"8.0 6.4 l S"]
+    assert w("checkbox", 10, 10, "Off").count(b" l") == 0 and "(•••) Tj".encode() in w("text", 50, 20, "abc", password=True) and b"(Sign) Tj" in w("signature", 50, 20) and b"(go) Tj" in w("button", 50, 20, None, "go")
+    assert b"/F1 24.0 Tf" in w("list", 50, 20, "x", font_size=99) and b"2.0 2.0 Td" in w("text", 50, 20, "x", font_size=99)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import compliance, tree
+from ..session import with_checkpoints
 
 
 @dataclass
@@ -54,16 +55,29 @@ def parse(text: str) -> list[Step]:
     return steps
 
 
-def _numbers(text: str) -> list[int]:
-    return tree.page_list(text, 1_000_000)
+def _least_pages(pages: DataFrame) -> int:
+    """Pages of the shortest document: what a step names has to be there in every one."""
+    return pages.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.min("n"), F.lit(0))).first()[0]
+
+
+def _numbers(pages: DataFrame, text: str) -> list[int]:
+    return tree.page_list(text, _least_pages(pages))
+
+
+def _within(pages: DataFrame, number: str, most: int = 0) -> int:
+    """A page number from 1 on that every document has, or up to most more."""
+    n, count = int(number), _least_pages(pages)
+    if not 1 <= n <= count + most:
+        raise ValueError(f"page {n} is outside 1 to {count + most}")
+    return n
 
 
 ACTIONS: dict[str, Callable[[DataFrame, dict[str, str]], DataFrame]] = {
-    "extract": lambda p, o: tree.extract(p, int(o["first"]), int(o["last"])),
-    "delete": lambda p, o: tree.delete(p, _numbers(o["pages"])),
-    "duplicate": lambda p, o: tree.duplicate(p, _numbers(o["pages"])),
-    "move": lambda p, o: tree.move(p, _numbers(o["pages"]), int(o["to"])),
-    "insert-blank": lambda p, o: tree.insert_blank(p, int(o["at"])),
+    "extract": lambda p, o: tree.extract(p, int(o["first"]), _within(p, o["last"])),
+    "delete": lambda p, o: tree.delete(p, _numbers(p, o["pages"])),
+    "duplicate": lambda p, o: tree.duplicate(p, _numbers(p, o["pages"])),
+    "move": lambda p, o: tree.move(p, _numbers(p, o["pages"]), _to(p, o["to"])),
+    "insert-blank": lambda p, o: tree.insert_blank(p, _to(p, o["at"])),
     "rotate": lambda p, o: p.withColumn("rotation", F.pmod(F.coalesce("rotation", F.lit(0)) + int(o["degrees"]), F.lit(360))) if int(o["degrees"]) % 90 == 0 else _refuse("a quarter turn is needed"),
     "redact": lambda p, o: compliance.redact(p, o["term"]),
     "split": lambda p, o: tree.chunks(p, int(o["size"])),
@@ -71,16 +85,29 @@ ACTIONS: dict[str, Callable[[DataFrame, dict[str, str]], DataFrame]] = {
 }
 
 
+def _to(pages: DataFrame, number: str) -> int:
+    """A place that pages are put before: a page from 0 on, or the end."""
+    n, count = int(number), _least_pages(pages)
+    if not 0 <= n <= count:
+        raise ValueError(f"place {n} is outside 0 to {count}")
+    return n
+
+
 def _refuse(message: str) -> DataFrame:
     raise ValueError(message)
 
 
 def run(pages: DataFrame, steps: list[Step]) -> tuple[DataFrame, list[StepResult]]:
-    """pages: doc, page, text, rotation. The table after all steps that came before the first failure, and what each did."""
+    """pages: doc, page, text, rotation. The table after all steps that came before the first failure, and what each did.
+
+    Each step's result is computed and kept in the checkpoint folder before it counts as done, so that a failure in
+    computing it stops the run there.
+    """
+    with_checkpoints(pages.sparkSession)
     results = []
     for s in steps:
         try:
-            pages = ACTIONS[s.kind](pages, s.options)
+            pages = ACTIONS[s.kind](pages, s.options).checkpoint()
         except Exception as e:
             results.append(StepResult(s.kind, False, str(e)))
             break

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SECTIONS = 64
 DEPTH = 64
@@ -23,6 +24,12 @@ _REF = re.compile(rb"(\d+)\s+(\d+)\s+R\b")
 _HEADER = re.compile(rb"(\d+)\s+(\d+)\s+obj\b")
 
 Events = list[tuple[str, str]]
+Fonts = dict[str, tuple[dict[int, str] | None, int]]
+
+#: Shown text whose baselines differ by no more than this is one line (points).
+SAME_LINE = 4.0
+#: A gap in a shown array from this on (thousandths of the font size) is a blank.
+BLANK = 250
 
 
 class Entry:
@@ -174,6 +181,11 @@ def integer(raw: bytes | None, default: int | None = None) -> int | None:
     return int(m[1]) if m else default
 
 
+def number(raw: bytes | None, default: float = 0.0) -> float:
+    m = re.match(rb"\s*([-+]?(?:\d+\.?\d*|\.\d+))", raw or b"")
+    return float(m[1]) if m else default
+
+
 def reference(raw: bytes | None) -> int | None:
     m = _REF.match(raw or b"")
     return int(m[1]) if m else None
@@ -222,6 +234,7 @@ class File:
         self.table: dict[int, Entry] = {}
         self.held: dict[int, dict[int, bytes]] = {}
         self.budget = INFLATED
+        self._pages: list[int] | None = None
         if not data.startswith(b"%PDF-"):
             self.events.append(("header-missing", ""))
         start = find_startxref(data, self.events)
@@ -359,6 +372,20 @@ class File:
         end = self.data.find(b"endobj", m.end())
         return self.data[m.end() : end if end >= 0 else len(self.data)].strip(_WHITE)
 
+    def whole(self, number: int) -> bytes:
+        """An object's body with its stream, whose bytes may look like an object's end."""
+        e = self.table.get(number)
+        body = self.object(number)
+        if e is None or e.container is not None or body[:2] != b"<<":
+            return body
+        head = dictionary(body, 0)
+        length = integer(self.resolved(value(head, "Length")))
+        at = self.data.find(head, e.offset)
+        m = re.compile(rb"\s*stream\r?\n").match(self.data, at + len(head)) if at >= 0 and head else None
+        if not m or length is None or not self.data[m.end() + length : m.end() + length + 20].lstrip(_WHITE).startswith(b"endstream"):
+            return body
+        return head + b"\nstream\n" + self.data[m.end() : m.end() + length] + b"\nendstream"
+
     def _members(self, container: int) -> dict[int, bytes]:
         if container not in self.held:
             self.held[container] = {}
@@ -383,13 +410,18 @@ class File:
         return self.object(n) if n is not None else raw or b""
 
     def pages(self) -> list[int]:
-        """Leaves of the page tree in order; loops and too deep branches are left out."""
+        """Leaves of the page tree in order; loops and too deep branches are left out and reported, once."""
+        if self._pages is not None:
+            return self._pages
         out: list[int] = []
         seen: set[int] = set()
         stack = [(reference(value(self.object(self.root or 0), "Pages")), 0)]
         while stack:
             n, depth = stack.pop()
-            if n is None or n in seen or depth > DEPTH:
+            if n is None:
+                continue
+            if n in seen or depth > DEPTH:
+                self.events.append(("page-tree-loop" if n in seen else "page-tree-too-deep", str(n)))
                 continue
             seen.add(n)
             body = self.object(n)
@@ -398,6 +430,140 @@ class File:
                 out.append(n)
             else:
                 stack += [(int(m[1]), depth + 1) for m in reversed(list(_REF.finditer(self.resolved(kids))))]
+        self._pages = out
+        return out
+
+    def attribute(self, page: int, key: str) -> bytes:
+        """A page's value of a key, or that of the nearest node above it that has one."""
+        node: int | None = page
+        for _ in range(DEPTH + 1):
+            body = self.object(node or 0)
+            if (raw := value(body, key)) is not None:
+                return self.resolved(raw)
+            node = reference(value(body, "Parent"))
+            if node is None:
+                break
+        return b""
+
+    def box(self, page: int, key: str) -> tuple[float, float, float, float] | None:
+        """left, bottom, right, top of a rectangle, whatever the order of its corners."""
+        raw = self.attribute(page, key)
+        got = [float(x) for x in re.findall(rb"[-+]?(?:\d+\.?\d*|\.\d+)", raw)] if not _REF.search(raw) else [number(self.resolved(m[0])) for m in _REF.finditer(raw)]
+        return (min(got[0], got[2]), min(got[1], got[3]), max(got[0], got[2]), max(got[1], got[3])) if len(got) == 4 else None
+
+    def page_metas(self) -> list[dict]:
+        """index (from 0), width, height and rotation of each page, as it is seen.
+
+        The crop box counts as far as the media box reaches; without any the page is a letter page. Rotations by
+        other than quarter turns count as none, and width and height change places with the odd ones.
+        """
+        out = []
+        for i, n in enumerate(self.pages()):
+            media = self.box(n, "MediaBox") or (0.0, 0.0, 612.0, 792.0)
+            crop = self.box(n, "CropBox") or media
+            seen = (max(media[0], crop[0]), max(media[1], crop[1]), min(media[2], crop[2]), min(media[3], crop[3]))
+            if seen[0] >= seen[2] or seen[1] >= seen[3]:
+                seen = media
+            turn = integer(self.attribute(n, "Rotate"), 0) % 360
+            turn = turn if turn % 90 == 0 else 0
+            size = seen[2] - seen[0], seen[3] - seen[1]
+            out.append({"index": i, "width": size[turn % 180 == 90], "height": size[turn % 180 == 0], "rotation": turn})
+        return out
+
+    def _destination(self, raw: bytes | None, names: int = 8) -> int | None:
+        """The page object that a destination names: an array, a dictionary with one, or a name for either."""
+        for _ in range(names):
+            raw = self.resolved(raw)
+            if raw[:1] == b"[":
+                m = _REF.search(raw)
+                return int(m[1]) if m else None
+            if raw[:2] == b"<<":
+                raw = value(raw, "D")
+            elif raw[:1] == b"/":
+                raw = value(self.resolved(value(self.object(self.root or 0), "Dests")), raw[1:].decode("latin-1"))
+            elif raw[:1] in (b"(", b"<"):
+                raw = self._named(raw_bytes(raw))
+            else:
+                return None
+        return None
+
+    def _named(self, name: bytes) -> bytes | None:
+        """What the name tree of destinations holds under a name."""
+        stack, seen = [(self.resolved(value(self.resolved(value(self.object(self.root or 0), "Names")), "Dests")), 0)], 0
+        while stack and seen < 2000:
+            node, depth = stack.pop()
+            seen += 1
+            pairs, i = self.resolved(value(node, "Names"))[1:-1], 0
+            while i < len(pairs):
+                key = token(pairs, i)
+                i = pairs.find(key, i) + max(1, len(key))
+                held = token(pairs, i)
+                i = pairs.find(held, i) + max(1, len(held))
+                if key[:1] in (b"(", b"<") and raw_bytes(key) == name:
+                    return held
+            if depth < 8:
+                stack += [(self.object(int(m[1])), depth + 1) for m in _REF.finditer(self.resolved(value(node, "Kids")))]
+        return None
+
+    def outline(self, most: int = 100_000) -> list[dict]:
+        """Bookmarks in reading order: ordinal, parent (an ordinal, None at the top), depth, title and page (from 0).
+
+        A bookmark without a destination that can be followed points at the first page. Loops, branches that are too
+        deep, and what goes beyond most bookmarks are left out and reported.
+        """
+        places = {n: i for i, n in enumerate(self.pages())}
+        out: list[dict] = []
+        seen: set[int] = set()
+        root = self.resolved(value(self.object(self.root or 0), "Outlines"))
+        stack: list[tuple[int | None, int | None, int]] = [(reference(value(root, "First")), None, 0)]
+        while stack:
+            n, parent, depth = stack.pop()
+            if n is None:
+                continue
+            if n in seen or depth > DEPTH or len(out) >= most:
+                self.events.append(("outline-loop" if n in seen else "outline-too-large", str(n)))
+                continue
+            seen.add(n)
+            body = self.object(n)
+            action = self.resolved(value(body, "A"))
+            to = value(body, "Dest")
+            if to is None and value(action, "S") == b"/GoTo":
+                to = value(action, "D")
+            out.append({"ordinal": len(out), "parent": parent, "depth": depth, "title": text(self.resolved(value(body, "Title"))), "page": places.get(self._destination(to), 0)})
+            stack.append((reference(value(body, "Next")), parent, depth))
+            stack.append((reference(value(body, "First")), len(out) - 1, depth + 1))
+        return out
+
+    def contents(self, page: int) -> bytes:
+        """A page's content streams, one after another."""
+        raw = value(self.object(page), "Contents") or b""
+        if reference(raw) is not None and (listed := self.object(reference(raw) or 0))[:1] == b"[":
+            raw = listed
+        data = b""
+        for m in _REF.finditer(raw):
+            e = self.table.get(int(m[1]))
+            if e is None or not e.in_use or e.container is not None:
+                self.events.append(("content-missing", m[1].decode()))
+                continue
+            try:
+                data += self.stream_at(e.offset) + b"\n"
+            except ValueError as x:
+                self.events.append(("content-unreadable", str(x)))
+        return data
+
+    def fonts(self, page: int) -> Fonts:
+        """By name: the font's map to text, None where it has none, and the bytes of a code."""
+        out: Fonts = {}
+        names = self.resolved(value(self.attribute(page, "Resources"), "Font"))
+        for name, n in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", names):
+            body = self.object(int(n))
+            entry, known = self.table.get(reference(value(body, "ToUnicode")) or 0), None
+            if entry is not None and entry.container is None:
+                try:
+                    known = to_unicode(self.stream_at(entry.offset))
+                except ValueError as e:
+                    self.events.append(("cmap-unreadable", str(e)))
+            out[name.decode("latin-1")] = (known, 2 if b"/Type0" in body else 1)
         return out
 
     def summary(self) -> dict:
@@ -501,28 +667,8 @@ class File:
         return out
 
     def page_texts(self) -> list[list[str]]:
-        """Shown strings of each page, one per text line operator."""
-        out = []
-        for n in self.pages():
-            raw = value(self.object(n), "Contents")
-            lines: list[str] = []
-            for m in _REF.finditer(raw or b""):
-                e = self.table.get(int(m[1]))
-                if e is None or e.container is not None:
-                    continue
-                try:
-                    content = self.stream_at(e.offset)
-                except ValueError as x:
-                    self.events.append(("content-unreadable", str(x)))
-                    continue
-                i = 0
-                while (i := content.find(b"(", i)) >= 0:
-                    end = string_end(content, i)
-                    if content[end : end + 3].lstrip().startswith(b"Tj"):
-                        lines.append(text(content[i:end]))
-                    i = end
-            out.append(lines)
-        return out
+        """Lines of shown text of each page, in the order in which they are shown."""
+        return [text_lines(self.contents(n), self.fonts(n), self.events) for n in self.pages()]
 
 
 def to_unicode(cmap: bytes) -> dict[int, str]:
@@ -547,60 +693,144 @@ def to_unicode(cmap: bytes) -> dict[int, str]:
     return out
 
 
-_OPERAND = re.compile(rb"\s*(/[^\s/<>\[\]()]*|[-+]?\d*\.?\d+|[A-Za-z'\"*]+|<<|\(|<|\[)")
+_OPERAND = re.compile(rb"\s*(?:%[^\r\n]*\s*)*(/[^\s/<>\[\]()%]*|[-+]?(?:\d+\.?\d*|\.\d+)|[A-Za-z'\"*][A-Za-z0-9'\"*]*|<<|\(|<|\[)")
+_IMAGE_END = re.compile(rb"\sEI(?=[\s/]|$)")
 
 
-def marked_text(content: bytes, fonts: dict[str, tuple[dict[int, str] | None, int]]) -> tuple[dict[int, str], bool]:
-    """Text by marked-content id, and whether all of it could be decoded. fonts: name to (map, bytes a code)."""
-    out: dict[int, str] = {}
-    open_: list[int | None] = []
-    stack: list[bytes] = []
-    font: tuple[dict[int, str] | None, int] = (None, 1)
-    sure, at = True, 0
-
-    def shown(raw: bytes) -> str:
-        nonlocal sure
-        data = raw_bytes(raw)
-        known, size = font
-        if known is None and size == 1:
-            sure = sure and all(b < 0x80 for b in data)
-            return data.decode("latin-1")
-        codes = [int.from_bytes(data[i : i + size], "big") for i in range(0, len(data), size)]
-        if known is None or any(c not in known for c in codes):
-            sure = False
-        return "".join((known or {}).get(c, "\ufffd") for c in codes)
-
-    while m := _OPERAND.match(content, at):
+def operations(content: bytes, events: Events) -> Iterator[tuple[bytes, list[bytes]]]:
+    """Operators of a content stream with their operands. What is neither is passed over and reported, inline images are skipped."""
+    operands: list[bytes] = []
+    at, odd = 0, 0
+    while at < len(content):
+        m = _OPERAND.match(content, at)
+        if not m:
+            odd += not content[at : at + 1].isspace() and content[at] != 0x25
+            end = re.compile(rb"[\r\n]|$").search(content, at) if content[at] == 0x25 else None
+            at = max(at + 1, end.end()) if end else at + 1
+            continue
         head, at = m[1], m.end()
         if head == b"<<":
             body = dictionary(content, m.start(1))
-            stack.append(body)
-            at = m.start(1) + len(body)
-        elif head == b"(":
-            at = string_end(content, m.start(1))
-            stack.append(content[m.start(1) : at])
-        elif head in (b"<", b"["):
+            operands.append(body)
+            at = m.start(1) + max(2, len(body))
+        elif head in (b"(", b"<", b"["):
             raw = token(content, m.start(1))
-            stack.append(raw)
+            operands.append(raw)
             at = m.start(1) + max(1, len(raw))
-        elif head[:1] == b"/" or head[:1].isdigit() or head[:1] in b"+-.":
-            stack.append(head)
+        elif head[:1] in b"/0123456789+-.":
+            operands.append(head)
+        else:
+            if head == b"ID" and (end := _IMAGE_END.search(content, at)):
+                at = end.end()
+            yield head, operands
+            operands = []
+    if odd:
+        events.append(("content-odd", f"{odd} bytes"))
+
+
+def strings(operand: bytes) -> Iterator[bytes]:
+    """The strings of a shown operand; b" " where an array leaves a gap as wide as a blank."""
+    if operand[:1] != b"[":
+        yield operand
+        return
+    for m in re.finditer(rb"\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>|[-+]?(?:\d+\.?\d*|\.\d+)|\(", operand, re.S):
+        if m[0] == b"(":
+            continue
+        if m[0][:1] in b"(<":
+            yield m[0]
+        elif float(m[0]) <= -BLANK:
+            yield b" "
+
+
+def decoded_text(raw: bytes, font: tuple[dict[int, str] | None, int]) -> tuple[str, bool]:
+    """A shown string as text, and whether that is sure. font: map and bytes a code."""
+    data, (known, size) = raw_bytes(raw), font
+    if known is None and size == 1:
+        return text(raw), all(b < 0x80 for b in data) or data[:2] == b"\xfe\xff"
+    codes = [int.from_bytes(data[i : i + size], "big") for i in range(0, len(data), size)]
+    return "".join((known or {}).get(c, "\ufffd") for c in codes), known is not None and all(c in known for c in codes)
+
+
+def text_lines(content: bytes, fonts: Fonts, events: Events) -> list[str]:
+    """Shown text, a line for each baseline. Baselines follow the text and page matrices as far as these don't turn or slant."""
+    lines: list[str] = []
+    font: tuple[dict[int, str] | None, int] = (None, 1)
+    page, saved = (1.0, 0.0), []  # scale and shift of heights
+    scale, y, leading = 1.0, 0.0, 0.0
+    line_y, moved, lost = 0.0, False, 0
+
+    def show(operand: bytes) -> None:
+        nonlocal line_y, moved, lost
+        here, shown = page[1] + page[0] * y, ""
+        for piece in strings(operand):
+            if piece == b" ":
+                shown += " "
+                continue
+            part, sure = decoded_text(piece, font)
+            lost += not sure and "\ufffd" in part
+            shown += part
+        if lines and abs(here - line_y) <= SAME_LINE:
+            gap = moved and lines[-1] and shown and not lines[-1].endswith(" ") and not shown.startswith(" ")
+            lines[-1] += " " * bool(gap) + shown
         else:
-            if head in (b"BDC", b"BMC"):
-                open_.append(integer(value(stack[-1], "MCID")) if head == b"BDC" and stack and stack[-1][:2] == b"<<" else None)
-            elif head == b"EMC" and open_:
-                open_.pop()
-            elif head == b"Tf" and len(stack) >= 2:
-                font = fonts.get(stack[-2].decode("latin-1").lstrip("/"), (None, 1))
-            elif head in (b"Tj", b"TJ", b"'", b'"') and stack:
-                parts = [stack[-1]] if stack[-1][:1] in (b"(", b"<") else re.findall(rb"\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>", stack[-1])
-                inside = next((i for i in reversed(open_) if i is not None), None)
-                if inside is not None:
-                    out[inside] = out.get(inside, "") + "".join(map(shown, parts))
-            if head in (b"BDC",) and open_ and open_[-1] is not None:
+            lines.append(shown)
+            line_y = here
+        moved = False
+
+    for head, args in operations(content, events):
+        x = [number(a) for a in args]
+        if head == b"BT":
+            scale, y, moved = 1.0, 0.0, True
+        elif head == b"Tf" and len(args) >= 2:
+            font = fonts.get(args[-2].decode("latin-1").lstrip("/"), (None, 1))
+        elif head == b"TL" and x:
+            leading = x[-1]
+        elif head in (b"Td", b"TD") and len(x) >= 2:
+            y, moved = y + x[-1] * scale, True
+            leading = -x[-1] if head == b"TD" else leading
+        elif head == b"Tm" and len(x) >= 6:
+            scale, y, moved = x[-3], x[-1], True
+        elif head == b"cm" and len(x) >= 6:
+            page = page[0] * x[-3], page[1] + page[0] * x[-1]
+        elif head == b"q":
+            saved.append(page)
+        elif head == b"Q" and saved:
+            page = saved.pop()
+        elif head == b"T*":
+            y, moved = y - leading * scale, True
+        elif head in (b"'", b'"') and args:
+            y, moved = y - leading * scale, True
+            show(args[-1])
+        elif head in (b"Tj", b"TJ") and args:
+            show(args[-1])
+    if lost:
+        events.append(("text-undecodable", f"{lost} strings"))
+    return lines
+
+
+def marked_text(content: bytes, fonts: Fonts, events: Events | None = None) -> tuple[dict[int, str], bool]:
+    """Text by marked-content id, and whether all of it could be decoded."""
+    out: dict[int, str] = {}
+    open_: list[int | None] = []
+    font: tuple[dict[int, str] | None, int] = (None, 1)
+    every = True
+    for head, args in operations(content, events if events is not None else []):
+        if head in (b"BDC", b"BMC"):
+            open_.append(integer(value(args[-1], "MCID")) if head == b"BDC" and args and args[-1][:2] == b"<<" else None)
+            if open_[-1] is not None:
                 out.setdefault(open_[-1], "")
-            stack = []
-    return out, sure
+        elif head == b"EMC" and open_:
+            open_.pop()
+        elif head == b"Tf" and len(args) >= 2:
+            font = fonts.get(args[-2].decode("latin-1").lstrip("/"), (None, 1))
+        elif head in (b"Tj", b"TJ", b"'", b'"') and args:
+            inside = next((i for i in reversed(open_) if i is not None), None)
+            for piece in strings(args[-1]) if inside is not None else ():
+                if piece != b" ":
+                    part, sure = decoded_text(piece, font)
+                    every = every and sure
+                    out[inside] += part
+    return out, every
 
 
 def raw_bytes(raw: bytes) -> bytes:
@@ -621,30 +851,10 @@ class Reader:
         self.unreliable = False
         self.missing = 0
 
-    def fonts(self, page: int) -> dict[str, tuple[dict[int, str] | None, int]]:
-        f, out = self.file, {}
-        names = f.resolved(value(f.resolved(value(f.object(page), "Resources")), "Font"))
-        for name, n in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", names):
-            body = f.object(int(n))
-            entry, known = f.table.get(reference(value(body, "ToUnicode")) or 0), None
-            if entry is not None and entry.container is None:
-                try:
-                    known = to_unicode(f.stream_at(entry.offset))
-                except ValueError as e:
-                    f.events.append(("cmap-unreadable", str(e)))
-            out[name.decode("latin-1")] = (known, 2 if b"/Type0" in body else 1)
-        return out
-
     def of(self, page: int) -> dict[int, str]:
         if page not in self.content:
-            f, data = self.file, b""
-            for m in _REF.finditer(value(f.object(page), "Contents") or b""):
-                entry = f.table.get(int(m[1]))
-                try:
-                    data += f.stream_at(entry.offset) + b"\n" if entry is not None and entry.container is None else b""
-                except ValueError as e:
-                    f.events.append(("content-unreadable", str(e)))
-            self.content[page], sure = marked_text(data, self.fonts(page))
+            f = self.file
+            self.content[page], sure = marked_text(f.contents(page), f.fonts(page), f.events)
             self.unreliable = self.unreliable or not sure
         return self.content[page]
 
@@ -764,6 +974,36 @@ def append(data: bytes, objects: dict[int, bytes], trailer: bytes, prev: int | N
     return bytes(out)
 
 
+def compact(objects: dict[int, bytes], trailer: bytes) -> bytes:
+    """A file whose plain objects stand in an object stream, and whose section is a stream of predicted rows."""
+    inside = [n for n in sorted(objects) if b"endstream" not in objects[n]]
+    holder, section = max(objects) + 1, max(objects) + 2
+    head, body = b"", b""
+    for n in inside:
+        head += b"%d %d " % (n, len(body))
+        body += objects[n] + b" "
+    packed = zlib.compress(head + body)
+    rest = {n: b for n, b in objects.items() if n not in inside}
+    rest[holder] = b"<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(inside), len(head), len(packed), packed)
+    out, rows = bytearray(b"%PDF-1.7\n"), {0: (0, 0, 65535)}
+    for n in sorted(rest):
+        rows[n] = (1, len(out), 0)
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, rest[n])
+    rows |= {n: (2, holder, i) for i, n in enumerate(inside)}
+    rows[section] = (1, len(out), 0)
+    table, above = b"", bytes(7)
+    for n in range(section + 1):
+        kind, a, b = rows.get(n, (0, 0, 65535))
+        row = bytes([kind]) + a.to_bytes(4, "big") + b.to_bytes(2, "big")
+        table += b"\2" + bytes((x - y) & 255 for x, y in zip(row, above))  # rows as differences from the one above
+        above = row
+    table = zlib.compress(table)
+    parms = b"/Filter /FlateDecode /DecodeParms << /Predictor 12 /Columns 7 >>"
+    start = len(out)
+    out += b"%d 0 obj\n<< /Type /XRef /W [1 4 2] /Size %d %s %s /Length %d >>\nstream\n%s\nendstream\nendobj\nstartxref\n%d\n%%%%EOF\n" % (section, section + 1, trailer, parms, len(table), table, start)
+    return bytes(out)
+
+
 def incremental(data: bytes, objects: dict[int, bytes]) -> bytes:
     """An appended save of changed objects; encrypted files are refused."""
     f = File(data)
@@ -773,6 +1013,30 @@ def incremental(data: bytes, objects: dict[int, bytes]) -> bytes:
     return append(data, objects, keep, max(f.sections) if f.sections else None)
 
 
+def latest_only(data: bytes, discard_signatures: bool = False) -> bytes:
+    """A copy of only what the latest revision reaches. Encrypted files are refused, and signed ones unless told otherwise."""
+    f = File(data)
+    if value(f.trailer, "Encrypt") is not None:
+        raise ValueError("an encrypted file can't be rewritten")
+    if b"/ByteRange" in data and not discard_signatures:
+        raise ValueError("a rewrite would break the file's signatures")
+    objects: dict[int, bytes] = {}
+    roots = {k: v for k in ("Root", "Info") if (v := value(f.trailer, k))}
+    open_ = [n for v in roots.values() if (n := reference(v)) is not None]
+    while open_:
+        n = open_.pop()
+        if n in objects or not (body := f.whole(n)):
+            continue
+        objects[n] = body
+        head = body[: body.find(b"stream")] if body[:2] == b"<<" and b"endstream" in body else body
+        open_ += [int(m[1]) for m in _REF.finditer(head)]
+    out = append(b"%PDF-1.7\n", objects, b" ".join(b"/%s %s" % (k.encode(), v) for k, v in roots.items()), None)
+    again = File(out)
+    if len(again.revisions()) != 1 or len(again.pages()) != len(f.pages()):
+        raise ValueError("the copy doesn't hold the latest revision and nothing else")
+    return out
+
+
 SUMMARY = "page_count_declared int, page_count_walked int, has_acroform boolean, has_xfa boolean, has_js boolean, is_tagged boolean, sig_count int, is_encrypted boolean, objects int, revisions int, leniency array<string>"
 
 
@@ -793,16 +1057,81 @@ def summaries(files: DataFrame, key: str = "path") -> DataFrame:
     return files.select(key, "content").mapInPandas(run, f"{key} {kind}, {SUMMARY}")
 
 
+def rows_of_files(files: DataFrame, key: str, schema: str, rows: Callable[[File], Iterable[Sequence]]) -> DataFrame:
+    """files: key and content. key and what rows() gives for each file, in the columns of schema."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(k, *row) for k, c in zip(pdf[key], pdf["content"]) for row in rows(File(bytes(c)))], columns=[key, *names])
+
+    kind = dict(files.dtypes)[key]
+    return files.select(key, "content").mapInPandas(run, f"{key} {kind}, {schema}")
+
+
 def texts(files: DataFrame, key: str = "path") -> DataFrame:
-    """key, page, line_index, text of files that this module or a like one wrote."""
+    """key, page, line_index, text: lines of shown text."""
+    return rows_of_files(files, key, "page int, line_index int, text string", lambda f: [(p, i, t) for p, lines in enumerate(f.page_texts()) for i, t in enumerate(lines)])
+
+
+def events(files: DataFrame, key: str = "path") -> DataFrame:
+    """key, kind, detail: what was odd in reading the structure and all page texts."""
+    return rows_of_files(files, key, "kind string, detail string", lambda f: (f.page_texts(), f.events)[1])
+
+
+def page_metas(files: DataFrame, key: str = "path") -> DataFrame:
+    """key, index, width, height, rotation, one row a page."""
+    return rows_of_files(files, key, "index int, width double, height double, rotation int", lambda f: [tuple(m.values()) for m in f.page_metas()])
+
+
+def outlines(files: DataFrame, key: str = "path") -> DataFrame:
+    """key, ordinal, parent, depth, title, page, one row a bookmark."""
+    rows = rows_of_files(files, key, "ordinal int, parent double, depth int, title string, page int", lambda f: [tuple(m.values()) for m in f.outline()])
+    return rows.withColumn("parent", F.when(~F.isnan("parent"), F.col("parent")).cast("int"))
+
+
+def fields(files: DataFrame, key: str = "path") -> DataFrame:
+    """key, name, type, value, flags, read_only, required, one row a form field."""
+    return rows_of_files(files, key, "name string, type string, value string, flags int, read_only boolean, required boolean", lambda f: [tuple(m.values()) for m in f.form_fields()])
+
+
+def comments(files: DataFrame, key: str = "path") -> DataFrame:
+    """key, page (from 1), subtype, author, contents, modified, is_reply, one row a comment."""
+    return rows_of_files(files, key, "page int, subtype string, author string, contents string, modified string, is_reply boolean", lambda f: [tuple(m.values()) for m in f.comments()])
+
+
+def layers(files: DataFrame, key: str = "path") -> DataFrame:
+    """key, obj, name, visible, one row a layer."""
+    return rows_of_files(files, key, "obj int, name string, visible boolean", lambda f: [tuple(m.values()) for m in f.layers()])
+
+
+def attachments(files: DataFrame, key: str = "path") -> DataFrame:
+    """key, name, data (null where it can't be decoded), one row an embedded file."""
+    return rows_of_files(files, key, "name string, data binary", lambda f: [tuple(m.values()) for m in f.attachments()])
+
+
+def signed(files: DataFrame, key: str = "path") -> DataFrame:
+    """key, obj, byte_range, contents, name, reason, time, level, one row a signature."""
+    rows = rows_of_files(files, key, "obj int, byte_range array<long>, contents binary, name string, reason string, time string, level double", lambda f: [tuple(m.values()) for m in signatures(f)])
+    return rows.withColumn("level", F.when(~F.isnan("level"), F.col("level")).cast("int"))
+
+
+def sanitized(files: DataFrame, key: str = "path", discard_signatures: bool = False) -> DataFrame:
+    """key, revisions_before, bytes_before, content and refused: the rewritten file, or why there is none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, p, i, t) for k, c in zip(pdf[key], pdf["content"]) for p, lines in enumerate(File(bytes(c)).page_texts()) for i, t in enumerate(lines)]
-            yield pd.DataFrame(rows, columns=[key, "page", "line_index", "text"])
+            out = []
+            for k, c in zip(pdf[key], pdf["content"]):
+                try:
+                    new, why = latest_only(bytes(c), discard_signatures), None
+                except ValueError as e:
+                    new, why = None, str(e)
+                out.append((k, len(File(bytes(c)).revisions()), len(c), new, why))
+            yield pd.DataFrame(out, columns=[key, "revisions_before", "bytes_before", "content", "refused"])
 
     kind = dict(files.dtypes)[key]
-    return files.select(key, "content").mapInPandas(run, f"{key} {kind}, page int, line_index int, text string")
+    return files.select(key, "content").mapInPandas(run, f"{key} {kind}, revisions_before int, bytes_before long, content binary, refused string")
 
 
 def written(docs: DataFrame) -> DataFrame:
