@@ -12,6 +12,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables up to so many bytes are dealt out before heavy work on their rows.
+SMALL = 256 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a small table over all cores: such a table may be a single row group, which one task reads.
+
+    Tables of more than SMALL bytes have enough parts as they are; they aren't shuffled.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text of all documents."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def split_lines(text: Column) -> Column:
     """Lines without their ends; a final line end makes no further line, and an empty text has none."""
     bare = F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "\n\\z", "")

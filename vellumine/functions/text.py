@@ -35,6 +35,11 @@ def is_boundary(char: Column) -> Column:
     return (char == "") | char.rlike(BOUNDARY)
 
 
+def overlaps_itself(needle: str) -> bool:
+    """Whether two occurrences of needle can share characters: whether some end of it is also its beginning."""
+    return any(needle.startswith(needle[i:]) for i in range(1, len(needle)))
+
+
 def starts_of(text: Column, needle: str) -> Column:
     """All starts of needle, overlapping ones too, as an array: the text is cut before each of them, in one pass."""
     pieces = F.split(text, f"(?=\\Q{needle}\\E)", -1)

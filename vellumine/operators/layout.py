@@ -95,3 +95,14 @@ def overlap_join(left: DataFrame, right: DataFrame, how: str, cell: float = 100.
     box = lambda p: {k: F.col(p + k) for k in ("x", "y", "width", "height")}
     met = a.join(b, (F.col("a_page") == F.col("b_page")) & (F.col("a_cx") == F.col("b_cx")) & (F.col("a_cy") == F.col("b_cy")) & overlaps(box("a_"), box("b_")), "left_semi").select(F.col("a_id").alias("id"), F.col("a_page").alias("page")).distinct()
     return left.join(met, ["id", "page"], "left_semi" if how == "semi" else "left_anti")
+
+
+def queue_places(requests: DataFrame, priority: str, order: str) -> DataFrame:
+    """Adds place: from 1 on by priority, then order.
+
+    Rows are numbered within their priority; what stands before a priority comes from the counts of the few priorities.
+    """
+    counts = requests.groupBy(priority).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select(F.col(priority).alias("_p"), (F.sum("n").over(Window.orderBy(priority)) - F.col("n")).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy(priority).orderBy(order))
+    return requests.withColumn("_nth", nth).join(F.broadcast(before), F.col(priority) == F.col("_p")).withColumn("place", F.col("_before") + F.col("_nth")).drop("_p", "_before", "_nth")

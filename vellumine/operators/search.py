@@ -1,10 +1,12 @@
 """Finding text in lines, and ranking pages."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import byte_offset, hit_count, hits, is_reliable, normalize
+from ..functions.text import byte_offset, char_at, hit_count, hits, is_boundary, is_reliable, normalize, overlaps_itself
 
 
 def prepared(term: str, case_sensitive: bool) -> str:
@@ -23,6 +25,22 @@ def haystack(lines: DataFrame, term: str, case_sensitive: bool) -> tuple[DataFra
     return lines.withColumn("norm", norm).where(F.contains("norm", F.lit(term))), term
 
 
+def with_hits(rows: DataFrame, needle: str, whole_word: bool = False, overlapping: bool = False) -> DataFrame:
+    """rows: norm. One row per hit of needle in norm, with its start in char_offset.
+
+    Occurrences of a needle that can't overlap itself are numbered and their starts read off the text before them,
+    without an array per line; other needles are folded.
+    """
+    if overlaps_itself(needle):
+        return rows.withColumn("char_offset", F.explode(hits(F.col("norm"), needle, whole_word, overlapping)))
+    numbered = rows.withColumn("nth", F.explode(F.sequence(F.lit(1), hit_count(F.col("norm"), needle).cast("int"))))
+    found = numbered.withColumn("char_offset", F.length(F.call_function("substring_index", F.col("norm"), F.lit(needle), F.col("nth")))).drop("nth")
+    if whole_word:
+        at = F.col("char_offset")
+        found = found.where(is_boundary(char_at(F.col("norm"), at - 1)) & is_boundary(char_at(F.col("norm"), at + len(needle))))
+    return found
+
+
 def find_counts(lines: DataFrame, term: str, case_sensitive: bool = False) -> DataFrame:
     """doc_id, page, line_index, hits: lines with at least one hit."""
     rows, term = haystack(lines, term, case_sensitive)
@@ -35,7 +53,7 @@ def find_all(lines: DataFrame, term: str, case_sensitive: bool = False, whole_wo
     Offsets are of the searched (normalised) line; matches never cross a line end.
     """
     rows, term = haystack(lines, term, case_sensitive)
-    found = rows.withColumn("char_offset", F.explode(hits(F.col("norm"), term, whole_word, overlapping)))
+    found = with_hits(rows, term, whole_word, overlapping)
     return found.select(
         "doc_id", "page", "line_index", F.col("char_offset").cast("long"), F.lit(len(term)).cast("long").alias("char_len"),
         byte_offset(F.col("norm"), F.col("char_offset")).cast("long").alias("byte_offset"), F.lit(len(term.encode())).cast("long").alias("byte_len"),
@@ -82,7 +100,7 @@ def redaction_regions(lines: DataFrame, term: str, case_sensitive: bool = False,
     needle = term if case_sensitive else term.lower()
     norm = F.col("text") if case_sensitive else F.lower("text")
     rows = lines.withColumn("norm", norm).where(F.contains("norm", F.lit(needle)))
-    rows = rows.withColumn("char_offset", F.explode(hits(F.col("norm"), needle, overlapping=True)))
+    rows = with_hits(rows, needle, overlapping=True)
     if whole_word:
         before, after = F.substring(F.concat(F.lit(" "), F.col("norm")), F.col("char_offset") + 1, F.lit(1)), F.substring("norm", F.col("char_offset") + len(needle) + 1, F.lit(1))
         rows = rows.where(~before.rlike("[0-9A-Za-z]") & ~after.rlike("[0-9A-Za-z]"))
@@ -93,25 +111,30 @@ TERM = "[^a-z0-9]+"
 
 
 def postings(pages: DataFrame) -> DataFrame:
-    """pages: key, text. key, term, tf: runs of ASCII letters and digits of the normalised text."""
+    """pages: key, text (several rows a key are one page). key, term, tf: runs of ASCII letters and digits of the normalised text."""
     words = pages.select("key", F.explode(F.split(normalize(F.col("text")), TERM)).alias("term")).where("term <> ''")
     return words.groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def rank(pages: DataFrame, query: str, limit: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """key, score_milli of the best pages for the query's terms (any of them), by BM25 then key."""
-    import re
+    """key, score_milli of the best pages for the query's terms (any of them), by BM25 then key.
 
+    pages: key, text; several rows a key are one page. Lengths and the terms' counts are taken where the rows are
+    read; only they are grouped, not the words. A query without terms finds nothing.
+    """
     terms = sorted({t for t in re.split(TERM, query.lower()) if t})
-    held = postings(pages)
-    lengths = held.groupBy("key").agg(F.sum("tf").alias("dl"))
-    stats = pages.select("key").distinct().agg(F.count(F.lit(1)).alias("n")).crossJoin(lengths.agg(F.sum("dl").alias("all_words")))
-    wanted = held.where(F.col("term").isin(terms))
-    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row per term of the query
-    rows = wanted.join(F.broadcast(df), "term").join(lengths, "key").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") * F.col("n") / F.col("all_words")))
-    return rows.groupBy("key").agg(F.sum(idf * tf).alias("score")).select("key", F.round(F.col("score") * 1000).cast("long").alias("score_milli")).orderBy(F.desc("score_milli"), "key").limit(limit)
+    # A text's words, each between blanks, so that a term with its blanks is found only as a whole.
+    words = F.concat(F.lit(" "), F.regexp_replace(normalize(F.col("text")), TERM, "  "), F.lit(" "))
+    rows = pages.select("key", words.alias("w"))
+    times = [((F.length("w") - F.length(F.replace(F.col("w"), F.lit(f" {t} "), F.lit("")))) / (len(t) + 2)).cast("long") for t in terms]
+    counted = rows.select("key", F.regexp_count("w", F.lit("[a-z0-9]+")).cast("long").alias("dl"), *[x.alias(f"t{i}") for i, x in enumerate(times)])
+    tf = [f"t{i}" for i in range(len(terms))]
+    per = counted.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("dl", *tf)])
+    stats = per.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("all_words"), *[F.count_if(F.col(c) > 0).alias(f"d{c}") for c in tf])  # one row
+    found = per.where(F.greatest(F.lit(0), F.lit(0), *tf) > 0).crossJoin(F.broadcast(stats))
+    norm = k1 * (1 - b + b * F.col("dl") * F.col("n") / F.col("all_words"))
+    score = sum((F.log(1 + (F.col("n") - F.col(f"d{c}") + 0.5) / (F.col(f"d{c}") + 0.5)) * F.col(c) * (k1 + 1) / (F.col(c) + norm) for c in tf), F.lit(0.0))
+    return found.select("key", F.round(score * 1000).cast("long").alias("score_milli")).orderBy(F.desc("score_milli"), "key").limit(limit)
 
 
 def upserted(index: DataFrame, records: DataFrame, by_revision: bool = True) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..corpus import LINES_SQL, PAGE_LINES, lines, split_lines, table
+from ..corpus import LINES_SQL, PAGE_LINES, documents, lines, split_lines, table
 from ..operators import diff as D
 from ..operators import review as R
 from ..operators import tree as P
@@ -36,7 +36,7 @@ def thread_filter_substring(spark, sf_dir):
     return R.filter_threads(comments(spark, sf_dir), "SE").select("thread", "root_author", F.size("replies").cast("long").alias("replies"))
 
 
-@query("""SELECT c.conv_id AS thread, c.role || ': ' || left(c.text, 20) || coalesce((SELECT string_agg(chr(10) || '  ' || r.role || ': ' || left(r.text, 20), '' ORDER BY r.turn, r.role, r.text) FROM conversations r WHERE r.conv_id = c.conv_id AND r.turn > 0), '') AS summary FROM conversations c WHERE c.turn = 0""")
+@query("""SELECT c.conv_id AS thread, c.role || ': ' || c.text || coalesce((SELECT string_agg(chr(10) || '  ' || r.role || ': ' || r.text, '' ORDER BY r.turn, r.role, r.text) FROM conversations r WHERE r.conv_id = c.conv_id AND r.turn > 0), '') AS summary FROM conversations c WHERE c.turn = 0""")
 def comment_summary(spark, sf_dir):
     return R.summary(comments(spark, sf_dir))
 
@@ -189,7 +189,6 @@ def outline_paths(spark, sf_dir):
 @query(f"WITH RECURSIVE {_NODES} SELECT node FROM up WHERE ancestor = 'r1'")
 def reachable_from_root(spark, sf_dir):
     n = nodes(spark, sf_dir)
-    spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/vellumine")
     return P.reachable(n.select(F.col("parent").alias("src"), F.col("node").alias("dst")), n.where("node = 'r1'"))
 
 
@@ -251,12 +250,12 @@ def rotate_crop_pages(spark, sf_dir):
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All lines of documents, numbered through their pages, against those of the documents numbered one more."""
-    li = lines(table(spark, sf_dir, "documents"))
+    li = lines(documents(spark, sf_dir))
     before = li.select(F.col("doc_id").alias("pair"), (F.col("page") * PAGE_LINES + F.col("line_index")).alias("idx"), "text")
     return before, before.withColumn("pair", F.col("pair") - 1).where("pair >= 0")
 
 
-_SIDES = f"WITH {LINES_SQL}, b AS (SELECT doc_id AS pair, line_index AS idx, text FROM lines WHERE page = 0), a AS (SELECT doc_id - 1 AS pair, line_index AS idx, text FROM lines WHERE page = 0 AND doc_id > 0)"
+_SIDES = f"WITH {LINES_SQL}, b AS (SELECT doc_id AS pair, page * {PAGE_LINES} + line_index AS idx, text FROM lines), a AS (SELECT doc_id - 1 AS pair, page * {PAGE_LINES} + line_index AS idx, text FROM lines WHERE doc_id > 0)"
 
 
 @query(_SIDES + " SELECT pair, idx, CASE WHEN a.text IS NULL THEN 'removed' WHEN b.text IS NULL THEN 'added' WHEN a.text = b.text THEN 'same' ELSE 'changed' END AS kind FROM b FULL JOIN a USING (pair, idx)")
@@ -271,7 +270,7 @@ def move_pairing(spark, sf_dir):
 
 @query()
 def line_diff(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", split_lines(F.col("text")).alias("l"))
+    d = documents(spark, sf_dir).select("doc_id", split_lines(F.col("text")).alias("l"))
     after = d.select((F.col("doc_id") - 1).alias("pair"), F.col("l").alias("after"))
     return D.line_diff(d.select(F.col("doc_id").alias("pair"), F.col("l").alias("before")).join(after, "pair"))
 

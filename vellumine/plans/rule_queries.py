@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..corpus import LINES_SQL, PAGE_LINES, lines, split_lines, table
+from ..corpus import LINES_SQL, PAGE_LINES, documents, lines, split_lines, table
 from ..operators import compliance as C
 from ..operators import forms as M
 from ..operators import jobs as J
@@ -56,6 +56,22 @@ def form_calculation_order(spark, sf_dir):
     return done.select("form", F.element_at("fields", "total").cast("int").alias("total"), F.regexp_replace(F.element_at("log", -1), "^ratio: ", "").alias("ratio"))
 
 
+@query("""SELECT p_partkey AS form, CASE p_partkey % 8 WHEN 0 THEN (p_size + 1)::VARCHAR WHEN 1 THEN (p_size * 2)::VARCHAR WHEN 2 THEN (p_size + p_partkey)::VARCHAR WHEN 3 THEN least(p_size, p_partkey)::VARCHAR
+ WHEN 4 THEN (p_size::BIGINT * p_partkey)::VARCHAR ELSE '' END AS result, CASE p_partkey % 8 WHEN 5 THEN 'error: unsupported: eval(' WHEN 6 THEN 'error: unsupported: function' WHEN 7 THEN 'error: no field nobody' ELSE 'updated' END AS outcome FROM part""")
+def form_scripts(spark, sf_dir):
+    """A script by row: field names that hold words of code, operations in any case, refused and failing ones."""
+    scripts = (
+        'this.getField("evaluation").value + 1', 'getField("requirements").value * 2', 'AFSimple_Calculate("sum", ["evaluation", "important"])', "afsimple_calculate('Min', new Array('evaluation', 'important'));",
+        'AFSimple_Calculate("PRD", new Array("evaluation", "important"))', 'eval("1")', "function f() { return 1 }", 'getField("nobody").value',
+    )
+    p = table(spark, sf_dir, "part")
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    forms = p.select(
+        F.col("p_partkey").alias("form"), F.map_from_arrays(F.array(*map(F.lit, ("evaluation", "requirements", "important", "result"))), F.array(size, size, key, F.lit(""))).alias("fields"),
+        F.create_map(F.lit("result"), F.element_at(F.array(*map(F.lit, scripts)), (F.col("p_partkey") % 8 + 1).cast("int"))).alias("scripts"), F.array(F.lit("result")).alias("calc_order"), F.lit(True).alias("enabled"))
+    return M.run_calculations(forms).select("form", F.element_at("fields", "result").alias("result"), F.regexp_replace(F.element_at("log", -1), "^result: ", "").alias("outcome"))
+
+
 @query("SELECT p_brand AS form, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_size, p_partkey) AS tab_order FROM part GROUP BY p_brand")
 def tab_order(spark, sf_dir):
     held = F.array_sort(F.collect_list(F.struct("p_size", "p_partkey")))
@@ -170,11 +186,10 @@ def annotations_kept(spark, sf_dir):
     return L.overlap_join(*boxes(spark, sf_dir), "anti").select("id", "page")
 
 
-@query("SELECT p_partkey AS request, CASE WHEN p_size <= 10 THEN 0 WHEN p_size <= 25 THEN 1 WHEN p_size <= 40 THEN 2 ELSE 3 END AS priority, row_number() OVER (ORDER BY CASE WHEN p_size <= 10 THEN 0 WHEN p_size <= 25 THEN 1 WHEN p_size <= 40 THEN 2 ELSE 3 END, p_partkey) AS place FROM part QUALIFY place <= 100")
+@query("SELECT p_partkey AS request, CASE WHEN p_size <= 10 THEN 0 WHEN p_size <= 25 THEN 1 WHEN p_size <= 40 THEN 2 ELSE 3 END AS priority, row_number() OVER (ORDER BY CASE WHEN p_size <= 10 THEN 0 WHEN p_size <= 25 THEN 1 WHEN p_size <= 40 THEN 2 ELSE 3 END, p_partkey) AS place FROM part")
 def tile_priority(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("request"), F.when(F.col("p_size") <= 10, 0).when(F.col("p_size") <= 25, 1).when(F.col("p_size") <= 40, 2).otherwise(3).alias("priority"))
-    top = p.orderBy("priority", "request").limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy("priority", "request")).cast("long"))
+    return L.queue_places(p, "priority", "request")
 
 
 # Compliance
@@ -202,7 +217,7 @@ def signature_verdict(spark, sf_dir):
     return signed(spark, sf_dir).select(k, C.verdict(k % 11 != 0, F.col("ranges"), F.lit(100), k % 7 == 0, k % 13 == 0, k % 3 != 0).alias("verdict"))
 
 
-@query("SELECT doc_id, sha256(left(text, 10) || substring(text, 21, 5)) AS digest FROM documents WHERE length(text) = strlen(text) AND length(text) >= 30")
+@query("SELECT doc_id, sha256((CASE WHEN octet_length(b) >= 10 THEN b[1:10] ELSE ''::BLOB END) || (CASE WHEN octet_length(b) >= 25 THEN b[21:25] ELSE ''::BLOB END)) AS digest FROM (SELECT doc_id, encode(text) AS b FROM documents)")
 def byte_range_digest(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     ranges = F.array(*[F.lit(x).cast("long") for x in (0, 10, 20, 5, 10**9, 5)])
@@ -231,12 +246,14 @@ def metadata_scrub(spark, sf_dir):
 
 @query(f"WITH {LINES_SQL} SELECT doc_id, page, line_index, regexp_replace(text, 'tion', '████', 'gi') AS text FROM lines WHERE contains(lower(text), 'tion')")
 def redact_lines(spark, sf_dir):
-    li = lines(table(spark, sf_dir, "documents"))
+    li = lines(documents(spark, sf_dir))
     return C.redact(li.where(F.contains(F.lower("text"), F.lit("tion"))), "tion")
 
 
-@query(f"""WITH {LINES_SQL}, items AS (SELECT doc_id, 0 AS page, 1 AS item, 'text' AS kind, 'tion' AS sample FROM documents UNION ALL SELECT doc_id, 0, 2, 'text', 'idiot' FROM documents UNION ALL SELECT doc_id, 0, 3, 'image', '' FROM documents WHERE doc_id % 3 = 0),
- j AS (SELECT i.*, CASE WHEN kind <> 'text' THEN 'x' WHEN NOT EXISTS (SELECT 1 FROM lines l WHERE l.doc_id = i.doc_id AND l.page = 0) THEN 'm' WHEN i.sample <> 'tion' AND EXISTS (SELECT 1 FROM lines l WHERE l.doc_id = i.doc_id AND l.page = 0 AND contains(lower(l.text), i.sample)) THEN 't' END AS risk FROM items i)
+@query(f"""WITH {LINES_SQL}, docs AS (SELECT d.doc_id, unnest(range(greatest(1, coalesce(n, 1)))) AS page FROM documents d LEFT JOIN (SELECT doc_id, max(page) + 1 AS n FROM lines GROUP BY doc_id) USING (doc_id)),
+ items AS (SELECT doc_id, page, 1 AS item, 'text' AS kind, 'tion' AS sample FROM docs UNION ALL SELECT doc_id, page, 2, 'text', 'idiot' FROM docs UNION ALL SELECT doc_id, page, 3, 'image', '' FROM docs WHERE doc_id % 3 = 0),
+ there AS (SELECT doc_id, page, bool_or(contains(lower(text), 'idiot')) AS found FROM lines GROUP BY doc_id, page),
+ j AS (SELECT i.*, CASE WHEN kind <> 'text' THEN 'x' WHEN t.doc_id IS NULL THEN 'm' WHEN i.sample <> 'tion' AND t.found THEN 't' END AS risk FROM items i LEFT JOIN there t USING (doc_id, page))
  SELECT doc_id, count(*) AS regions, count(*) FILTER (WHERE risk IS NULL) AS confirmed, count(risk) AS risks, count(risk) = 0 AS passed FROM j GROUP BY doc_id""")
 def redaction_verification(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -278,10 +295,29 @@ def job_problems(spark, sf_dir):
 def job_levels(spark, sf_dir):
     jobs, _ = job_table(spark, sf_dir)
     deps = jobs.select("job", F.floor(F.col("job") / 3).alias("needs")).where("needs <> job").join(jobs.select(F.col("job").alias("needs")), "needs", "left_semi")
-    spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/vellumine")
     return J.levels(jobs, deps)
 
 
+_RUN = """WITH RECURSIVE j AS (SELECT p_partkey AS job, p_size % 2 = 0 AS idempotent FROM part), d AS (SELECT p_partkey AS job, p_partkey // 5 AS needs FROM part WHERE p_partkey // 5 <> p_partkey AND p_partkey // 5 IN (SELECT p_partkey FROM part)),
+ e AS (SELECT l_partkey AS job, l_orderkey AS ts, l_linenumber AS seq, ['started', 'succeeded', 'succeeded', 'succeeded', 'succeeded', 'succeeded', 'crashed', 'failed', 'cancelled', 'succeeded'][(l_orderkey + l_linenumber) % 10 + 1] AS kind FROM lineitem WHERE l_partkey % 3 > 0),
+ t AS (SELECT job, arg_max(kind, ts * 100 + seq) AS last, count(*) FILTER (WHERE kind = 'crashed') AS crashes FROM e GROUP BY job),
+ s AS (SELECT j.job, last, CASE WHEN last = 'started' THEN 'running' WHEN last = 'crashed' THEN CASE WHEN idempotent AND crashes = 1 THEN 'pending' ELSE 'failed' END ELSE coalesce(last, 'pending') END AS own FROM j LEFT JOIN t USING (job)),
+ b AS (SELECT job FROM s WHERE own IN ('failed', 'cancelled') UNION SELECT d.job FROM d JOIN b ON d.needs = b.job),
+ r AS (SELECT s.*, own NOT IN ('succeeded', 'failed', 'cancelled') AND s.job IN (SELECT job FROM b) AS lost, EXISTS (SELECT 1 FROM d JOIN s n ON n.job = d.needs WHERE d.job = s.job AND n.own <> 'succeeded') AS waits FROM s)
+ SELECT job, CASE WHEN lost THEN 'failed' WHEN own = 'pending' AND NOT waits THEN 'ready' ELSE own END AS state, CASE WHEN lost THEN 'dependency did not complete' WHEN own = 'failed' THEN CASE WHEN last = 'crashed' THEN 'worker crashed' ELSE 'failed' END END AS reason FROM r"""
+
+
+@query(_RUN)
+def job_run_states(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    jobs = p.select(F.col("p_partkey").alias("job"), (F.col("p_size") % 2 == 0).alias("idempotent"))
+    deps = jobs.select("job", F.floor(F.col("job") / 5).alias("needs")).where("needs <> job").join(jobs.select(F.col("job").alias("needs")), "needs", "left_semi")
+    kinds = F.array(*map(F.lit, ("started", "succeeded", "succeeded", "succeeded", "succeeded", "succeeded", "crashed", "failed", "cancelled", "succeeded")))
+    li = table(spark, sf_dir, "lineitem").where("l_partkey % 3 > 0")
+    events = li.select(F.col("l_partkey").alias("job"), F.col("l_orderkey").alias("ts"), F.col("l_linenumber").alias("seq"), F.element_at(kinds, ((F.col("l_orderkey") + F.col("l_linenumber")) % 10 + 1).cast("int")).alias("kind"))
+    return J.run_states(jobs, deps, events)
+
+
 @query("SELECT p_brand AS queue, p_partkey AS job, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS place FROM part")
 def ready_queue(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("queue"), F.col("p_partkey").alias("job"), F.col("p_size").alias("priority"), F.col("p_partkey").alias("seq"))
@@ -361,10 +397,10 @@ def plugin_manifests(spark, sf_dir):
 def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split("text", "[ \t\n]+")  # a tab would end the field
     row = F.transform(words, lambda w, i: F.concat_ws("\t", F.lit("5\t1\t1\t1\t1"), (i + 1).cast("string"), (i * 40).cast("string"), F.lit("10\t30\t12"), F.when(F.length(w) < 3, "-1").otherwise((F.length(w) * 7 % 100).cast("string")), w))
-    return table(spark, sf_dir, "documents").where("length(text) > 0").select(F.col("doc_id").alias("page"), F.concat(F.lit("header\n"), F.array_join(row, "\n"), F.lit("\nshort\trow")).alias("tsv"))
+    return documents(spark, sf_dir).where("length(text) > 0").select(F.col("doc_id").alias("page"), F.concat(F.lit("header\n"), F.array_join(row, "\n"), F.lit("\nshort\trow")).alias("tsv"))
 
 
-_OCR = "w AS (SELECT doc_id AS page, unnest(string_split_regex(text, '[ \\n]+')[1:5]) AS w, unnest(range(1, len(string_split_regex(text, '[ \\n]+')[1:5]) + 1)) AS n FROM documents WHERE length(text) > 0), k AS (SELECT * FROM w WHERE trim(w) <> '' AND length(w) >= 3)"
+_OCR = "w AS (SELECT doc_id AS page, unnest(string_split_regex(text, '[ \\t\\n]+')) AS w, unnest(range(1, len(string_split_regex(text, '[ \\t\\n]+')) + 1)) AS n FROM documents WHERE length(text) > 0), k AS (SELECT * FROM w WHERE trim(w) <> '' AND length(w) >= 3)"
 
 
 @query(f"WITH {_OCR} SELECT page, n::INT AS n, ((n - 1) * 40)::DOUBLE AS x, w AS text, (length(w) * 7 % 100) / 100.0 AS confidence FROM k")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..corpus import LINES_SQL, PAGE_LINES, lines, split_lines, table
+from ..corpus import LINES_SQL, PAGE_LINES, documents, lines, split_lines, table
 from ..sources import pdf, xfdf
 from ..streaming import events as E
 from .catalog import query
@@ -58,7 +58,7 @@ def stream_stream_join(spark, sf_dir):
 
 
 def files(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", split_lines(F.col("text")).alias("l"))
+    docs = documents(spark, sf_dir).select("doc_id", split_lines(F.col("text")).alias("l"))
     chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("l") / PAGE_LINES) - 1, F.lit(0)).cast("int")), lambda p: F.slice("l", p * PAGE_LINES + 1, F.lit(PAGE_LINES)))
     return pdf.written(docs.select("doc_id", chunks.alias("pages")))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..corpus import LINES_SQL, lines, table
+from ..corpus import LINES_SQL, documents, lines, table
 from ..functions import text as T
 from ..operators import search as S
 from .catalog import query
@@ -14,7 +14,7 @@ BOUND = "regexp_matches({c}, '[\\s[:cntrl:].,;:!?()\\[\\]{{}}\"''\\-/\\\\]')"
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(table(spark, sf_dir, "documents"))
+    return lines(documents(spark, sf_dir))
 
 
 @query(f"WITH {LINES_SQL} SELECT doc_id, page, line_index, ((length(n) - length(replace(n, 'the', ''))) // 3)::BIGINT AS hits FROM (SELECT *, {NORM} AS n FROM lines) WHERE contains(n, 'the')")
@@ -94,7 +94,7 @@ def redaction_term_regions(spark, sf_dir):
 FROM (SELECT doc_id, page, line_index, n, unnest({_starts('tion')}) AS o FROM (SELECT *, {NORM} AS n FROM lines) WHERE contains(n, 'tion'))""")
 def selection_boxes(spark, sf_dir):
     rows, term = S.haystack(doc_lines(spark, sf_dir), "tion", False)
-    rows = rows.withColumn("char_offset", F.explode(T.hits(F.col("norm"), term)))
+    rows = S.with_hits(rows, term)
     x, width = S.selection_box(F.col("norm"), F.col("char_offset"), F.lit(4), F.lit(72.0), F.lit(468.0))
     return rows.select("doc_id", "page", "line_index", F.col("char_offset").cast("long"), F.round(x, 4).alias("x"), F.round(width, 4).alias("width"))
 
@@ -158,7 +158,7 @@ def pdf_string_escape(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.pdf_escape(F.col("text"))).alias("literal_md5"))
 
 
-@query("SELECT doc_id, base64(encode(left(text, 40))) AS b64, lower(hex(encode(left(text, 20)))) AS hexed, lower(hex(encode(source))) || ':' || (doc_id % 7) AS record_key FROM documents")
+@query("SELECT doc_id, base64(encode(text)) AS b64, lower(hex(encode(text))) AS hexed, lower(hex(encode(source))) || ':' || (doc_id % 7) AS record_key FROM documents")
 def base64_hex_keys(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.replace(F.base64(F.col("text").cast("binary")), F.lit("\r\n"), F.lit("")).alias("b64"), F.lower(F.hex(F.col("text").cast("binary"))).alias("hexed"), T.composite_key(F.lower(F.hex(F.col("source").cast("binary"))), F.col("doc_id") % 7).alias("record_key"))
@@ -189,9 +189,8 @@ w AS (SELECT key, unnest(string_split_regex({NORM}, '[^a-z0-9]+')) AS term FROM
 
 
 def index_pages(spark, sf_dir):
-    from ..sources.writers import page_text
-
-    return page_text(doc_lines(spark, sf_dir), " ").select((F.col("doc_id") * 1000 + F.col("page")).alias("key"), "text")
+    """key of a page, text: a row a line, since no term crosses a line end."""
+    return doc_lines(spark, sf_dir).select((F.col("doc_id") * 1000 + F.col("page")).alias("key"), "text")
 
 
 @query(_INDEX + """, l AS (SELECT key, sum(tf) AS dl FROM p GROUP BY key), s AS (SELECT (SELECT count(*) FROM pg) AS n, (SELECT sum(dl) FROM l) AS total), d AS (SELECT term, count(*) AS df FROM p WHERE term IN ('idiot', 'license', 'version') GROUP BY term)
