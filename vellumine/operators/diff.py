@@ -26,8 +26,19 @@ def moves(removed: DataFrame, added: DataFrame) -> DataFrame:
 
 
 def align(before: list[str], after: list[str]) -> list[tuple[str, int | None, int | None]]:
-    """(same, removed or added; index before; index after) in order; of equal choices a removal comes first."""
+    """(same, removed or added; index before; index after) in order; of equal choices a removal comes first.
+
+    A common beginning matches line by line and needs no table; a common end may not, where lines repeat.
+    """
+    head = 0
+    while head < min(len(before), len(after)) and before[head] == after[head]:
+        head += 1
+    if head:
+        rest = align(before[head:], after[head:])
+        return [("same", i, i) for i in range(head)] + [(k, i if i is None else i + head, j if j is None else j + head) for k, i, j in rest]
     n, m = len(before), len(after)
+    if not n or not m:
+        return [("removed", x, None) for x in range(n)] + [("added", None, x) for x in range(m)]
     ids: dict[str, int] = {}
     a, b = (np.array([ids.setdefault(x, len(ids)) for x in side], np.int64) for side in (before, after))
     table = np.zeros((n + 1, m + 1), np.int32)

@@ -31,15 +31,26 @@ def glyph_lines(glyphs: Column, gap: float = LINE_GAP) -> Column:
 
     The first glyph's height is the line's anchor; a glyph without a box joins the line that is open.
     """
-    empty = F.array().cast("array<struct<anchor:double,text:string>>")
-
-    def step(held: Column, g: Column) -> Column:
-        last = F.element_at(held, -1)
-        joins = (F.size(held) > 0) & (g["y"].isNull() | (F.abs(g["y"] - last["anchor"]) <= gap))
-        longer = F.concat(F.slice(held, F.lit(1), F.size(held) - 1), F.array(F.struct(last["anchor"].alias("anchor"), F.concat(last["text"], g["char"]).alias("text"))))
-        return F.when(joins, longer).otherwise(F.concat(held, F.array(F.struct(g["y"].alias("anchor"), g["char"].alias("text")))))
-
-    return F.aggregate(glyphs, empty, step)
+    none = F.array().cast("array<struct<at:int,anchor:double>>")
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("at"), none.alias("starts"))
+
+    def step(s: Column, g: Column) -> Column:
+        y = g["y"].cast("double")
+        joins = (F.size(s["starts"]) > 0) & F.coalesce(y.isNull() | (F.abs(y - s["anchor"]) <= gap), F.lit(False))
+        opened = F.concat(s["starts"], F.array(F.struct(s["at"].alias("at"), y.alias("anchor"))))
+        return F.struct(F.when(joins, s["anchor"]).otherwise(y).alias("anchor"), (s["at"] + 1).alias("at"), F.when(joins, s["starts"]).otherwise(opened).alias("starts"))
+
+    def line(x: Column, after: Column) -> Column:
+        shown = F.transform(F.slice(glyphs, x["at"] + 1, after["at"] - x["at"]), lambda g: g["char"])
+        return F.struct(x["anchor"].alias("anchor"), F.array_join(shown, "").alias("text"))
+
+    def whole(starts: Column) -> Column:
+        end = F.array(F.struct(F.size(glyphs).alias("at"), F.lit(None).cast("double").alias("anchor")))
+        return F.zip_with(starts, F.concat(F.slice(starts, F.lit(2), F.size(starts)), end), line)
+
+    # Only the starts of lines are collected, and once; each line's text is put together from the glyphs between two.
+    folded = F.array(F.aggregate(glyphs, start, step)["starts"])
+    return F.when(F.size(glyphs) == 0, F.array().cast("array<struct<anchor:double,text:string>>")).otherwise(F.element_at(F.transform(folded, whole), 1))
 
 
 def boxes(glyphs: DataFrame) -> DataFrame:

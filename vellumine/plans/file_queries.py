@@ -1,6 +1,7 @@
 """Queries over files: each part becomes a file with one feature, which the reader has to find again."""
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable
 
@@ -10,7 +11,12 @@ from pyspark.sql import functions as F
 
 from ..corpus import table
 from ..operators import appearance as A
+from ..operators.drawing import png
+from ..session import shared_folder
 from ..sources import pdf
+from ..sources.writers import publish
+from .batch import parse
+from .batch import run as run_batch
 from .catalog import query
 
 
@@ -187,6 +193,71 @@ def pdf_sanitized(spark, sf_dir):
     return rows.select("id", "revisions_before", "refused").join(after, "id", "left")
 
 
+def plump_file(k: int, name: str, size: int) -> bytes:
+    """A page of repeated, uncompressed text."""
+    body = b"BT 12 TL 0 700 Td " + b"".join(b"%s Tj T* " % pdf.literal(f"{name} {i}") for i in range(size + 40)) + b"ET"
+    return saved(0, tree([b"/Contents 96 0 R"], rest={96: stream(body), 97: b"(unused)"}))
+
+
+@query("""SELECT p_partkey AS id, ['screen', 'print', 'archive', 'custom'][p_partkey % 4 + 1] AS profile, p_size::BIGINT + 40 AS lines, true AS shorter, p_partkey % 4 <> 2 AS in_streams,
+ md5((SELECT string_agg(p_name || ' ' || i, chr(10) ORDER BY i) FROM range(p_size + 40) t(i))) AS text_md5 FROM part""")
+def pdf_optimized(spark, sf_dir):
+    def run(batches):
+        for t in batches:
+            made = []
+            for k, data in zip(t["id"], t["content"]):
+                profile = list(pdf.PROFILES)[k % 4]
+                new = pdf.optimized(bytes(data), profile)
+                made.append((k, profile, len(new) < len(data), b"/ObjStm" in new, new))
+            yield pd.DataFrame(made, columns=["id", "profile", "shorter", "in_streams", "content"])
+
+    new = files(spark, sf_dir, plump_file).mapInPandas(run, "id long, profile string, shorter boolean, in_streams boolean, content binary")
+    shown = pdf.texts(new, "id").groupBy("id").agg(F.count(F.lit(1)).alias("lines"), F.array_sort(F.collect_list(F.struct("line_index", "text"))).alias("t"))
+    return new.drop("content").join(shown.select("id", "lines", F.md5(F.array_join(F.transform("t", lambda x: x["text"]), "\n")).alias("text_md5")), "id")
+
+
+# Sinks
+
+
+@query("SELECT p_partkey AS id, p_size AS width, 3 AS height, md5(repeat('A', p_size * 12)) AS pixels_md5 FROM part")
+def image_export(spark, sf_dir):
+    """Images written as PNG files and read back: size from the header, pixels from the rows."""
+    def run(batches):
+        for t in batches:
+            made = []
+            for k, w in zip(t["p_partkey"], t["p_size"]):
+                image = png(b"A" * (12 * w), w, 3)
+                width, height = int.from_bytes(image[16:20], "big"), int.from_bytes(image[20:24], "big")
+                rows = zlib.decompress(image[image.index(b"IDAT") + 4 : image.index(b"IEND") - 8])
+                made.append((k, width, height, b"".join(rows[i + 1 : i + 1 + 4 * width] for i in range(0, len(rows), 4 * width + 1))))
+            yield pd.DataFrame(made, columns=["id", "width", "height", "pixels"])
+
+    made = table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInPandas(run, "id long, width int, height int, pixels binary")
+    return made.select("id", "width", "height", F.md5("pixels").alias("pixels_md5"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def published_table(spark, sf_dir):
+    """A table that is staged, read back, accepted and only then put in its place."""
+    target = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    publish(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), target, lambda df: df.count() > 0 and df.where("n_name IS NULL").isEmpty())
+    return spark.read.parquet(target)
+
+
+_DUPLICATED = "(SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY page) - 1)::INT AS page, content FROM (SELECT doc, page, content FROM {p} UNION ALL SELECT doc, page, content FROM {p} WHERE page = 0))"
+_PAGES = "(SELECT l_orderkey AS doc, l_linenumber - 1 AS page, max(l_partkey) AS content FROM lineitem GROUP BY ALL)"
+
+
+@query(f"SELECT doc, page // 2 + 1 AS chunk, page % 2 AS page, replace(content::VARCHAR, '7', '█') || chr(10) || 'seen' AS text, 270 AS rotation FROM {_DUPLICATED.format(p=_PAGES)}")
+def batch_pipeline(spark, sf_dir):
+    steps = parse("[rotate]\ndegrees = -90\n[duplicate]\npages = 1\n# what is hidden comes before what is added\n[redact]\nterm = 7\n[stamp]\ntext = seen\n[split]\nsize = 2\n")
+    pages = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") - 1).alias("page")).agg(F.max("l_partkey").cast("string").alias("text"))
+    out, results = run_batch(pages.withColumn("rotation", F.lit(None).cast("int")), steps)
+    if not all(r.ok for r in results):
+        raise RuntimeError(results[-1].message)
+    return out.select("doc", "chunk", "page", "text", "rotation")
+
+
 # Appearances
 
 

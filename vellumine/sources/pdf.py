@@ -1013,8 +1013,37 @@ def incremental(data: bytes, objects: dict[int, bytes]) -> bytes:
     return append(data, objects, keep, max(f.sections) if f.sections else None)
 
 
-def latest_only(data: bytes, discard_signatures: bool = False) -> bytes:
-    """A copy of only what the latest revision reaches. Encrypted files are refused, and signed ones unless told otherwise."""
+def entries(body: bytes) -> list[tuple[bytes, bytes]]:
+    """Keys and raw values at the top level of a dictionary, in order."""
+    out, i = [], 2
+    while (at := body.find(b"/", i)) >= 0:
+        key = token(body, at)
+        held = token(body, at + len(key))
+        i = body.find(held, at + len(key)) + len(held) if held else at + len(key)
+        out.append((key, held))
+    return out
+
+
+def squeezed(body: bytes) -> bytes:
+    """A stream object whose data is deflated anew where that is shorter; anything else as it is."""
+    head = dictionary(body, 0) if body[:2] == b"<<" and body.endswith(b"endstream") else b""
+    if not head:
+        return body
+    filters, data = value(head, "Filter"), body[body.find(b"stream\n", len(head)) + 7 : -10]
+    if filters not in (None, b"/FlateDecode") or (filters and value(head, "DecodeParms")):
+        return body
+    try:
+        new = zlib.compress(inflate(data) if filters else data, 9)
+    except ValueError:
+        return body
+    if len(new) + (0 if filters else 20) >= len(data):
+        return body
+    kept = b" ".join(k + b" " + v for k, v in entries(head) if k not in (b"/Filter", b"/Length"))
+    return b"<< %s /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (kept, len(new), new)
+
+
+def rewritten(data: bytes, discard_signatures: bool, change: Callable[[bytes], bytes], save: Callable[[dict[int, bytes], bytes], bytes]) -> bytes:
+    """A copy of what the latest revision reaches, each object changed. Encrypted files are refused, and signed ones unless told otherwise."""
     f = File(data)
     if value(f.trailer, "Encrypt") is not None:
         raise ValueError("an encrypted file can't be rewritten")
@@ -1027,16 +1056,34 @@ def latest_only(data: bytes, discard_signatures: bool = False) -> bytes:
         n = open_.pop()
         if n in objects or not (body := f.whole(n)):
             continue
-        objects[n] = body
-        head = body[: body.find(b"stream")] if body[:2] == b"<<" and b"endstream" in body else body
+        objects[n] = change(body)
+        head = dictionary(body, 0) if body[:2] == b"<<" and body.endswith(b"endstream") else body
         open_ += [int(m[1]) for m in _REF.finditer(head)]
-    out = append(b"%PDF-1.7\n", objects, b" ".join(b"/%s %s" % (k.encode(), v) for k, v in roots.items()), None)
+    out = save(objects, b" ".join(b"/%s %s" % (k.encode(), v) for k, v in roots.items()))
     again = File(out)
-    if len(again.revisions()) != 1 or len(again.pages()) != len(f.pages()):
+    if len(again.revisions()) != 1 or again.page_texts() != f.page_texts():
         raise ValueError("the copy doesn't hold the latest revision and nothing else")
     return out
 
 
+def plain_file(objects: dict[int, bytes], trailer: bytes) -> bytes:
+    return append(b"%PDF-1.7\n", objects, trailer, None)
+
+
+def latest_only(data: bytes, discard_signatures: bool = False) -> bytes:
+    """A copy of only what the latest revision reaches, with its objects as they are."""
+    return rewritten(data, discard_signatures, lambda body: body, plain_file)
+
+
+#: Profiles, and whether they put objects into streams. Images are never resampled.
+PROFILES = {"screen": True, "print": True, "archive": False, "custom": True}
+
+
+def optimized(data: bytes, profile: str, discard_signatures: bool = False) -> bytes:
+    """A rewrite with deflated streams, and with object streams where the profile wants them."""
+    return rewritten(data, discard_signatures, squeezed, compact if PROFILES[profile] else plain_file)
+
+
 SUMMARY = "page_count_declared int, page_count_walked int, has_acroform boolean, has_xfa boolean, has_js boolean, is_tagged boolean, sig_count int, is_encrypted boolean, objects int, revisions int, leniency array<string>"
 
 
