@@ -1,7 +1,7 @@
 """Comment threads: a root (turn 0) and its direct replies."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,16 @@ def summary(comments: DataFrame) -> DataFrame:
     line = lambda a, t: F.concat(a, F.lit(": "), t)
     body = F.transform("replies", lambda r: F.concat(F.lit("\n  "), line(r["author"], r["text"])))
     return threads(comments).select("thread", F.concat(line(F.col("root_author"), F.col("root_text")), F.array_join(body, "")).alias("summary"))
+
+
+def annotation_states(commands: DataFrame) -> DataFrame:
+    """commands: doc, annotation, seq, kind (create, edit, delete, status), value. doc, annotation, contents, status, changes.
+
+    An annotation is there if its last creation came after its last deletion. Its contents are of its last creation or
+    edit, its status (null before any) of the last status since it was created; changes counts its edits since then.
+    """
+    at = lambda *kinds: F.when(F.col("kind").isin(*kinds), F.col("seq"))
+    made = F.max(at("create")).over(Window.partitionBy("doc", "annotation"))
+    gone = F.max(at("delete")).over(Window.partitionBy("doc", "annotation"))
+    live = commands.withColumns({"made": made, "gone": gone}).where("made IS NOT NULL AND (gone IS NULL OR made > gone) AND seq >= made")
+    return live.groupBy("doc", "annotation").agg(F.max_by("value", at("create", "edit")).alias("contents"), F.max_by("value", at("status")).alias("status"), F.count_if(F.col("kind") == "edit").alias("changes"))

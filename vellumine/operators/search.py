@@ -123,11 +123,12 @@ def rank(pages: DataFrame, query: str, limit: int = 20, k1: float = 1.2, b: floa
     read; only they are grouped, not the words. A query without terms finds nothing.
     """
     terms = sorted({t for t in re.split(TERM, query.lower()) if t})
-    # A text's words, each between blanks, so that a term with its blanks is found only as a whole.
-    words = F.concat(F.lit(" "), F.regexp_replace(normalize(F.col("text")), TERM, "  "), F.lit(" "))
-    rows = pages.select("key", words.alias("w"))
+    # A text's words, each between blanks of its own, so that a term with its blanks is found only as a whole.
+    words = F.trim(F.regexp_replace(normalize(F.col("text")), TERM, "  "))
+    rows = pages.select("key", F.concat(F.lit(" "), words, F.lit(" ")).alias("w"))
     times = [((F.length("w") - F.length(F.replace(F.col("w"), F.lit(f" {t} "), F.lit("")))) / (len(t) + 2)).cast("long") for t in terms]
-    counted = rows.select("key", F.regexp_count("w", F.lit("[a-z0-9]+")).cast("long").alias("dl"), *[x.alias(f"t{i}") for i, x in enumerate(times)])
+    gaps = F.length("w") - F.length(F.replace(F.col("w"), F.lit("  "), F.lit(" ")))
+    counted = rows.select("key", F.when(F.col("w") == "  ", 0).otherwise(gaps + 1).cast("long").alias("dl"), *[x.alias(f"t{i}") for i, x in enumerate(times)])
     tf = [f"t{i}" for i in range(len(terms))]
     per = counted.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("dl", *tf)])
     stats = per.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("all_words"), *[F.count_if(F.col(c) > 0).alias(f"d{c}") for c in tf])  # one row

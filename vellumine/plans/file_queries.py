@@ -106,6 +106,22 @@ def pdf_outline(spark, sf_dir):
     return rows.withColumn("node", key("ordinal")).join(named, "node").drop("node")
 
 
+def tagged_file(k: int, name: str, size: int) -> bytes:
+    """Two pages drawn out of order: a heading, a paragraph that goes on overleaf, and a picture with a description."""
+    first = b"/P << /MCID 0 >> BDC (body %d) Tj EMC /H1 << /MCID 1 >> BDC %s Tj EMC" % (size, pdf.literal(name))
+    second = b"/Artifact BMC (page 2) Tj EMC /P << /MCID 2 >> BDC [(ta) -20 (il)] TJ EMC"
+    rest = {
+        100: b"<< /Type /StructTreeRoot /K [101 0 R 102 0 R 103 0 R] >>", 101: b"<< /S /H1 /Pg 10 0 R /K [1] >>", 102: b"<< /S /P /Pg 10 0 R /K [0 << /Type /MCR /MCID 2 /Pg 11 0 R >>] >>",
+        103: b"<< /S /Figure /Pg 11 0 R /Alt %s >>" % pdf.literal(f"picture {k}"), 104: stream(first), 105: stream(second),
+    }
+    return saved(k, tree([b"/Contents 104 0 R", b"/Contents 105 0 R"], catalog=b"/MarkInfo << /Marked true >> /StructTreeRoot 100 0 R", rest=rest))
+
+
+@query("""SELECT p_partkey AS id, i::INT AS block, [0, 0, 1, 1][i + 1]::INT AS page, ['H1', 'P', 'P', 'Figure'][i + 1] AS element, [p_name, 'body ' || p_size, 'tail', '[Figure: picture ' || p_partkey || ']'][i + 1] AS text FROM part, range(4) t(i)""")
+def pdf_reading_order(spark, sf_dir):
+    return pdf.reading_order(files(spark, sf_dir, tagged_file), "id")
+
+
 def form_file(k: int, name: str, size: int) -> bytes:
     """A field tree with a named parent, a checkbox and a field without a value."""
     rest = {

@@ -248,6 +248,18 @@ def rotate_crop_pages(spark, sf_dir):
     return li.select(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") - 1).alias("page"), F.pmod(F.col("l_partkey") % 4 * 90 + 90, F.lit(360)).cast("int").alias("rotation"), (F.lit(20.0) + F.col("l_quantity") <= 50).alias("crop_ok"))
 
 
+_KINDS = ("create", "edit", "delete", "status", "edit", "create", "status", "edit", "edit", "status", "create")
+
+
+@query(f"""WITH c AS (SELECT user_id AS doc, event_id % 7 AS annotation, event_id AS seq, {list(_KINDS)}[event_id * 7 % 11 + 1] AS kind, event_type AS value FROM events),
+ m AS (SELECT doc, annotation, max(seq) FILTER (WHERE kind = 'create') AS made, max(seq) FILTER (WHERE kind = 'delete') AS gone FROM c GROUP BY ALL),
+ l AS (SELECT c.* FROM c JOIN m USING (doc, annotation) WHERE made IS NOT NULL AND (gone IS NULL OR made > gone) AND seq >= made)
+ SELECT doc, annotation, arg_max(value, seq) FILTER (WHERE kind IN ('create', 'edit')) AS contents, arg_max(value, seq) FILTER (WHERE kind = 'status') AS status, count(*) FILTER (WHERE kind = 'edit') AS changes FROM l GROUP BY doc, annotation""")
+def annotation_states(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("event_id") * 7 % 11 + 1).cast("int"))
+    return R.annotation_states(table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), (F.col("event_id") % 7).alias("annotation"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("event_type").alias("value")))
+
+
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All lines of documents, numbered through their pages, against those of the documents numbered one more."""
     li = lines(documents(spark, sf_dir))

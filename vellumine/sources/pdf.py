@@ -1163,6 +1163,11 @@ def signed(files: DataFrame, key: str = "path") -> DataFrame:
     return rows.withColumn("level", F.when(~F.isnan("level"), F.col("level")).cast("int"))
 
 
+def reading_order(files: DataFrame, key: str = "path") -> DataFrame:
+    """key, block, page (from 0), element, text: blocks of tagged files in the order of their structure."""
+    return rows_of_files(files, key, "block int, page int, element string, text string", lambda f: [(i, b["page"], b["element"], b["text"]) for i, b in enumerate(Reader(f).blocks())])
+
+
 def sanitized(files: DataFrame, key: str = "path", discard_signatures: bool = False) -> DataFrame:
     """key, revisions_before, bytes_before, content and refused: the rewritten file, or why there is none."""
 
