@@ -15,12 +15,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, text_of, written
+from .common import WORD, discard, text_of, written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-STEPS = 40
+STEPS = 100
 TOLERANCE = 1e-9
+#: A table of at most so many sources is sent to every task and written as one file.
+SENT = 10_000
+#: Sizes folded at a time; results are appended once for so many.
+FOLDED = 512
 #: Documents of one size in one source that a task ranks together.
 RANKED = 20_000
 
@@ -62,7 +66,8 @@ def rate(multiplier: Column, scaled: Column, cap: int) -> Column:
 def solve(histogram: DataFrame, targets: DataFrame, cap: int = CAP, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """histogram: source, size, docs. Returns source, source_size, target, mean_size, multiplier.
 
-    Safeguarded Newton: a step that leaves the bracket is replaced by the bracket's middle.
+    Safeguarded Newton: a step that leaves the bracket is replaced by the bracket's middle. A source that isn't
+    solved after ``steps`` steps is an error.
     """
     means = histogram.where("size > 0").groupBy("source").agg(
         (F.sum(F.col("size") * F.col("docs")) / F.sum("docs")).alias("mean_size"), F.min("size").alias("least_size")
@@ -72,7 +77,8 @@ def solve(histogram: DataFrame, targets: DataFrame, cap: int = CAP, steps: int =
     span = F.col("mean_size") / F.col("least_size")
     state = written(
         start.select("source", "source_size", "target", "mean_size", F.lit(0.0).alias("multiplier"), (-60.0 * span).alias("low"), ((F.log(F.lit(float(cap))) + 1e-6) * span).alias("high"), F.lit(False).alias("done")), "mix-start")
-    sides = F.broadcast if state.count() <= 10_000 else (lambda df: df)
+    few = state.count() <= SENT
+    sides = F.broadcast if few else (lambda df: df)
     for _ in range(steps):
         live = state.where("not done and target > 0 and target < %d * source_size" % cap)
         z = F.col("size") / F.col("mean_size")
@@ -86,16 +92,20 @@ def solve(histogram: DataFrame, targets: DataFrame, cap: int = CAP, steps: int =
         newton = F.col("multiplier") - F.try_divide(gap, F.col("slope"))
         stepped = F.when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)
         near = F.abs(gap) <= tolerance * F.col("target")
-        state = written(
+        before, after = state, (
             state.join(sums, same(F.col("source"), F.col("s")), "left").select(
                 "source", "source_size", "target", "mean_size",
                 F.when(F.col("got").isNull() | near, F.col("multiplier")).otherwise(stepped).alias("multiplier"),
                 F.when(F.col("got").isNull(), F.col("low")).otherwise(low).alias("low"),
                 F.when(F.col("got").isNull(), F.col("high")).otherwise(high).alias("high"),
                 (F.col("got").isNull() | near).alias("done"),
-            ).coalesce(1), "mix-step")
+            ))
+        state = written(after, "mix-step", 1 if few else None)
+        discard(before)
         if state.where("not done").isEmpty():
             break
+    else:
+        raise RuntimeError(f"sources not balanced after {steps} steps")
     full = F.col("target") >= cap * F.col("source_size")
     return state.select("source", "source_size", "target", "mean_size", F.when(full, F.col("high")).otherwise(F.col("multiplier")).alias("multiplier"))
 
@@ -103,7 +113,7 @@ def solve(histogram: DataFrame, targets: DataFrame, cap: int = CAP, steps: int =
 def size_copies(histogram: DataFrame, solved: DataFrame, cap: int = CAP) -> DataFrame:
     """source, size, docs, copies: the copies that all documents of that size take together.
 
-    The fold runs once per source over its distinct sizes. n distinct sizes need n^2 / 2 words at least,
+    The fold runs once per source over its distinct sizes, in chunks. n distinct sizes need n^2 / 2 words at least,
     and the longest document bounds them, so the array stays short however many documents there are.
     """
     z = F.col("size") / F.col("mean_size")
@@ -126,9 +136,18 @@ def size_copies(histogram: DataFrame, solved: DataFrame, cap: int = CAP) -> Data
             (state["want"] + x["want"]).alias("want"), (state["took"] + n * x["size"]).alias("took"),
             (state["words"] - x["size"] * x["docs"]).alias("words"), F.concat(state["copies"], F.array(n)).alias("copies"))
 
-    start = F.struct(F.lit(0.0).alias("want"), F.lit(0).cast("long").alias("took"), F.col("words").alias("words"), F.array().cast("array<bigint>").alias("copies"))
-    folded = F.aggregate("steps", start, step)
-    return by_source.select("source", F.explode(F.arrays_zip("steps", folded["copies"].alias("copies"))).alias("x")).select(
+    def once(x: Column, then) -> Column:
+        """then(x), with x evaluated a single time."""
+        return F.element_at(F.transform(F.array(x), then), 1)
+
+    def chunk(state: Column, steps: Column) -> Column:
+        start = F.struct(state["want"].alias("want"), state["took"].alias("took"), state["words"].alias("words"), F.array().cast("array<bigint>").alias("copies"))
+        return once(F.aggregate(steps, start, step), lambda r: F.struct(r["want"].alias("want"), r["took"].alias("took"), r["words"].alias("words"), F.concat(state["all"], F.array(r["copies"])).alias("all")))
+
+    start = F.struct(F.lit(0.0).alias("want"), F.lit(0).cast("long").alias("took"), F.col("words").alias("words"), F.array().cast("array<array<bigint>>").alias("all"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("steps") - 1) / FOLDED).cast("int")), lambda i: F.slice("steps", i * FOLDED + 1, F.lit(FOLDED)))
+    folded = F.flatten(F.aggregate(chunks, start, chunk)["all"])
+    return by_source.select("source", F.explode(F.arrays_zip("steps", folded.alias("copies"))).alias("x")).select(
         "source", F.col("x.steps.size").alias("size"), F.col("x.steps.docs").alias("docs"), F.col("x.copies").alias("copies"))
 
 
@@ -163,14 +182,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; documents without words stay once."""
-    plan = mix(docs, weights, cap).select(F.col("doc_id").alias("_id"), F.col("draw").alias("_draw"), F.col("source").alias("_source"), F.col("copies").alias("_copies"), F.col("size").alias("_size"))
-    # Rows that agree in id, source and text are interchangeable: their copies are added up and dealt evenly.
-    plan = plan.groupBy("_id", "_draw", "_source").agg(F.sum(F.when(F.col("_size") == 0, 1).otherwise(F.col("_copies"))).alias("_all"), F.count(F.lit(1)).alias("_rows"))
-    rows = docs.withColumn("_draw0", F.xxhash64(F.col("doc_id"), text_of()))
-    joined = rows.join(plan, same(F.col("doc_id").cast("long"), F.col("_id")) & (F.col("_draw0") == F.col("_draw")) & same(F.col("source").cast("string"), F.col("_source")))
-    alone = joined.where("_rows = 1").withColumn("_times", F.col("_all"))
-    nth = F.row_number().over(Window.partitionBy("_id", "_draw", "_source").orderBy("_rows"))
-    several = joined.where("_rows > 1").withColumn("_nth", nth).withColumn("_times", F.floor(F.col("_all") / F.col("_rows")) + F.when(F.col("_nth") <= F.col("_all") % F.col("_rows"), 1).otherwise(0)).drop("_nth")
-    both = alone.unionByName(several).where("_times > 0")
-    return both.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int")))).select(*[both[c] for c in docs.columns])
+    """The rows of docs, each as often as the mix takes it, with all columns whatever their names.
+
+    Documents without words (null and empty texts) stay once. Null sources are a source; rows that agree in
+    doc_id, source and text share their copies evenly. An empty table gives no rows.
+    """
+    key = ["id", "draw", "source"]
+    plan = mix(docs, weights, cap).select(F.col("doc_id").alias("id"), "draw", "source", F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).alias("copies"))
+    plan = plan.groupBy(*key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("doc_id"), text_of()).alias("draw"), F.col("source").cast("string").alias("source"))
+    on = same(F.col("r.id"), F.col("p.id")) & (F.col("r.draw") == F.col("p.draw")) & same(F.col("r.source"), F.col("p.source"))
+    joined = rows.alias("r").join(plan.alias("p"), on).select("r.*", "copies", "rows")
+    alone = joined.where("rows = 1").select("row", F.col("copies").alias("times"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("rows"))
+    several = joined.where("rows > 1").withColumn("nth", nth).select("row", (F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("nth") <= F.col("copies") % F.col("rows"), 1).otherwise(0)).alias("times"))
+    both = alone.unionByName(several).where("times > 0")
+    return both.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select("row.*")
