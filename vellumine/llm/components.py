@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -14,7 +14,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     per node and joined back, so a node of very many links is dealt out by the join.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
     for _ in range(most_rounds):
         # Large star: each neighbour above a node hangs on to the least of the node's neighbourhood.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -24,12 +23,12 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         down = large.join(least, F.col("a") == F.col("u"))
         small = down.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = written(small.where("a <> b").distinct(), "edges")
-        # At the fixed point every node has one edge, to its root, and no root has one.
-        now = edges.agg(F.count(F.lit(1)), F.count_distinct("a"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if now[0] == now[1] and tuple(now) == before:
+        before, edges = edges, written(small.where("a <> b").distinct(), "edges")
+        discard(before)
+        # At the fixed point the table is a set of stars: every node has one edge, and no root has one of its own.
+        nodes, rows = edges.agg(F.count_distinct("a"), F.count(F.lit(1))).first()
+        if nodes == rows and edges.join(edges.select(F.col("b").alias("root")), F.col("a") == F.col("root"), "left_semi").isEmpty():
             break
-        before = tuple(now)
     else:
         raise RuntimeError(f"no fixed point after {most_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

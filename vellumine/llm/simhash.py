@@ -16,9 +16,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import minhash
 from .common import text_of, written
 from .components import connected_components
 
@@ -144,3 +145,20 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, blocks: int = BLOCKS, di
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_representatives(docs: DataFrame) -> DataFrame:
+    """One row of docs for each group of near copies, with all columns whatever their names.
+
+    Texts are linked at a similarity of 0.8 or more of their sets of five-word shingles (minhash.near_components: 64
+    bits don't reach that far, see there). The row of the least doc_id stays, null ids last; then by text, then by the
+    other columns. Null texts count as empty, empty texts are one group, equal texts are near copies. An empty table
+    gives no rows.
+    """
+    key = ["none", "id", "node"]
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), minhash.node_of().alias("node"), F.xxhash64("*").alias("draw"))
+    # A text without a near copy is a component of its own; rows of equal text share it.
+    rooted = keyed.select(*key).join(minhash.near_components(docs), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = written(rooted.groupBy("root").agg(F.min(F.struct(*key)).alias("first")).select("first.*"), "near-copies")
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("draw"))
+    return keyed.join(first, key, "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")
