@@ -342,9 +342,9 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> np.ndarray:
 
 
 def find_pii(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added: one row per row of docs.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans: one row per row of docs.
 
-    The counts and base_sha256 are of the base spans; spans has the added ones too, and none of these overlaps
+    n_spans counts all spans. The other counts and base_sha256 are of the base spans; spans has the added ones too, and none of these overlaps
     a base span. Null texts count as empty. Offsets are code points, ends exclusive. An empty table gives no rows.
     """
     weights = docs.sparkSession.sparkContext.broadcast(fit(docs, fit_docs))
@@ -354,7 +354,7 @@ def find_pii(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 counts: list[list[int]] = [[] for _ in KINDS]
-                shas, lines, added = [], [], []
+                shas, lines, added, every = [], [], [], []
                 for text in batch.column(1).to_pylist():
                     base = base_spans(text)
                     more = added_spans(text, base, weights.value)
@@ -363,10 +363,11 @@ def find_pii(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
                     shas.append(hashlib.sha256(line(base).encode()).hexdigest())
                     lines.append(line(base + more))
                     added.append(len(more))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(shas, pa.string()), pa.array(lines, pa.string()), pa.array(added, pa.int64())], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"])
+                    every.append(len(base) + len(more))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(shas, pa.string()), pa.array(lines, pa.string()), pa.array(added, pa.int64()), pa.array(every, pa.int64())], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added", "n_spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def redact(text: str, spans: list[Span]) -> str:
