@@ -20,7 +20,7 @@ def op1_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_reputation.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
-    return judged.withColumns({c: F.round(c, 6) for c in ("bad_rate", "bad_rate_low")})
+    return judged.withColumns({c: F.round(c, 6) for c in ("bad_rate", "bad_chance")})
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,13 +92,19 @@ ORACLE_SQL: dict[str, str] = {
         {_level("su", "hosts", "suffix", "whole", "true")},
         {_level("dom", "hosts", "domain, suffix", "su", "a.suffix = g.suffix")},
         {_level("ho", "hosts", "host, domain, suffix", "dom", "a.domain = g.domain AND a.suffix = g.suffix")},
-        r AS (SELECT host, centre AS mean, greatest(0.0, centre - sqrt(centre * (1 - centre) / (a + b + 1))) AS low FROM ho)
+        lim AS (SELECT host, centre AS mean, a, b, {url_reputation.LIFT} * w / (1 - w + {url_reputation.LIFT} * w) AS x FROM ho, (SELECT centre AS w FROM whole)),
+        side AS (SELECT host, mean, x > (a + 1) / (a + b + 2) AS turned, CASE WHEN x > (a + 1) / (a + b + 2) THEN 1 - x ELSE x END AS x, CASE WHEN x > (a + 1) / (a + b + 2) THEN b ELSE a END AS p, CASE WHEN x > (a + 1) / (a + b + 2) THEN a ELSE b END AS q FROM lim),
+        ks AS (SELECT host, x, p, q, unnest(range(1, 51 + floor(4 * sqrt(p + q))::BIGINT)) AS m FROM side),
+        ds AS (SELECT host, list(CASE WHEN m % 2 = 0 THEN (m // 2) * (q - m // 2) * x / ((p + m - 1) * (p + m)) ELSE -(p + m // 2) * (p + q + m // 2) * x / ((p + 2 * (m // 2)) * (p + 2 * (m // 2) + 1)) END ORDER BY m DESC) AS d FROM ks GROUP BY host),
+        cf AS (SELECT host, list_reduce(list_concat([1.0::DOUBLE], d), lambda t, e: 1 + e / t) AS f FROM ds),
+        mass AS (SELECT host, mean, turned, exp(p * ln(x) + q * ln(1 - x) + lgamma(p + q) - lgamma(p) - lgamma(q)) / (p * f) AS below FROM side JOIN cf USING (host)),
+        r AS (SELECT host, mean, greatest(0.0, least(1.0, CASE WHEN turned THEN below ELSE 1 - below END)) AS chance FROM mass)
         SELECT page_id, host, path,
           CASE WHEN {_FITS.format(h='example.org', p='/en/1')} THEN 'example.org/en/1' WHEN {_FITS.format(h='example.org', p='/es/')} THEN 'example.org/es/' WHEN {_FITS.format(h='com', p='/fr/')} THEN 'com/fr/'
                WHEN {_FITS.format(h='com', p='/de/')} THEN 'com/de/' WHEN {_FITS.format(h='org', p='/')} THEN 'org/' END AS rule,
           CASE WHEN {_FITS.format(h='example.org', p='/en/1')} OR {_FITS.format(h='example.org', p='/es/')} THEN 'block' WHEN {_FITS.format(h='com', p='/fr/')} THEN 'allow' WHEN {_FITS.format(h='com', p='/de/')} THEN 'block'
-               WHEN {_FITS.format(h='org', p='/')} THEN 'allow' WHEN low > 0.25 THEN 'block' ELSE 'allow' END AS verdict,
-          round(mean, 6) AS bad_rate, round(low, 6) AS bad_rate_low
+               WHEN {_FITS.format(h='org', p='/')} THEN 'allow' WHEN chance > {url_reputation.SURE} THEN 'block' ELSE 'allow' END AS verdict,
+          round(mean, 6) AS bad_rate, round(chance, 6) AS bad_chance
         FROM p JOIN r USING (host)""",
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
