@@ -1,15 +1,17 @@
 """Exact top-k BM25 over a sharded inverted index, with block-max WAND pruning.
 
-Documents are indexed where they are read: a task turns a bounded number of tokens into one shard, a row of a
-table in the shared folder that holds the shard's terms, postings and lengths. Document frequencies and lengths
-are summed over all shards, so that every shard scores with the same statistics and the merged lists are exact.
-
-Queries come in blocks of a bounded number of terms; a block goes to every shard. In a shard, a query's terms
-are split at a list length: the short lists are added up for all their documents. For the long ones there
-are maxima of the contribution in each run of ``RUN`` documents. A run's bound is its largest sum so far plus
-these maxima; where it falls below the k-th best score found (the WAND pivot test at block-max bounds) the
-run's documents are never scored. The others are scored in full, in order of their bounds. Documents of a shard
-lie sorted by their commonest word and length, so that runs are alike and their maxima tight.
+Documents are indexed where they are read: a task turns a bounded number of tokens into one shard, a compressed
+row of a table in the shared folder that holds the shard's terms, postings and lengths. Document frequencies and
+lengths are summed over all shards, so that every shard scores with the same statistics and the merged lists are
+exact.
+
+Queries come in blocks of a bounded number of terms; a block goes to every shard. A shard's documents lie in runs
+of ``RUN``, sorted by their commonest word and length, so that a run's documents are alike. Each long list has the
+maximum of its contributions in each run; lists with hardly a posting a run are their own maxima and are added up as
+they are. The sum of a query's maxima in a run bounds all scores there. First the runs of the highest bounds are
+scored, which sets the threshold (the k-th best score so far, carried from shard to shard in a task). Then a cursor
+goes through the runs in document order: the pivot is the next run whose bound reaches the threshold, everything
+before it is passed over unscored, and the pivot's documents are scored in full, which may raise the threshold.
 """
 from __future__ import annotations
 
@@ -19,23 +21,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import discard, text_of, written
 
 K1, B = 1.2, 0.75
 TOP = 10
 #: A shard ends at so many tokens or documents.
-SHARD_TOKENS = 6_000_000
+SHARD_TOKENS = 5_000_000
 SHARD_DOCS = 20_000
 RUN = 64
-#: Lists longer than this share of a shard's documents are bounded instead of added up.
+#: Lists longer than this share of a shard's documents (and than one run) are bounded instead of added up.
 LONG = 1 / 8
-#: Runs scored at a time.
+#: Pivots scored at a time.
 STEP = 8
+#: Scores count to nine decimals; a bound below the threshold by more than this can't reach it.
+SLACK = 2e-9
 #: A block of queries holds about so many (query, term) pairs.
-BLOCK_TERMS = 1_500_000
+BLOCK_TERMS = 1_000_000
 _KEEP = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 
 
@@ -44,7 +49,19 @@ def tokens(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_KEEP).split()
 
 
-SHARD_SCHEMA = "docs long, tokens long, ids binary, known binary, lengths binary, terms binary, starts binary, places binary, counts binary"
+SHARD_SCHEMA = "docs long, tokens long, shard binary"
+_PARTS = ("ids", "known", "lengths", "terms", "starts", "places", "counts")
+
+
+def packed(parts: dict[str, bytes]) -> bytes:
+    sizes = np.array([len(parts[k]) for k in _PARTS], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(sizes + b"".join([parts[k] for k in _PARTS]))
+
+
+def unpacked(blob: bytes) -> dict[str, memoryview]:
+    data = memoryview(zstandard.ZstdDecompressor().decompress(blob))
+    ends = 4 * len(_PARTS) + np.cumsum(np.frombuffer(data, "<u4", len(_PARTS)).astype(np.int64))
+    return {k: data[a:z] for k, a, z in zip(_PARTS, [4 * len(_PARTS), *ends], ends)}
 
 
 class Builder:
@@ -72,14 +89,18 @@ class Builder:
         place = np.empty(n, "<u4")
         by = np.lexsort((self.lengths, self.common))
         place[by] = np.arange(n)
-        pairs = np.concatenate(self.rows, axis=1) if self.rows else np.zeros((2, 0), "<u4")
         doc = np.repeat(place, [r.shape[1] for r in self.rows])
+        pairs = np.concatenate(self.rows, axis=1) if self.rows else np.zeros((2, 0), "<u4")
+        self.rows = []
         order = np.argsort(pairs[0], kind="stable")
         starts = np.zeros(len(self.term) + 1, "<u4")
         starts[1:] = np.cumsum(np.bincount(pairs[0], minlength=len(self.term)))
         ids = np.array([i or 0 for i in self.ids], "<i8")[by]
         known = np.array([i is not None for i in self.ids], "u1")[by]
-        return [n, self.size, ids.tobytes(), known.tobytes(), np.array(self.lengths, "<u4")[by].tobytes(), b" ".join(self.term), starts.tobytes(), doc[order].tobytes(), pairs[1][order].tobytes()]
+        return [n, self.size, packed({
+            "ids": ids.tobytes(), "known": known.tobytes(), "lengths": np.array(self.lengths, "<u4")[by].tobytes(), "terms": b" ".join(self.term),
+            "starts": starts.tobytes(), "places": doc[order].tobytes(), "counts": pairs[1][order].tobytes(),
+        })]
 
 
 def build_index(docs: DataFrame, shard_tokens: int = SHARD_TOKENS, shard_docs: int = SHARD_DOCS) -> DataFrame:
@@ -91,12 +112,14 @@ def build_index(docs: DataFrame, shard_tokens: int = SHARD_TOKENS, shard_docs: i
             return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if i < 2 else pa.binary()) for i, v in enumerate(b.row())], names)
 
         held = Builder()
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.add(doc_id, text)
-                if held.size >= shard_tokens or len(held.ids) >= shard_docs:
-                    yield close(held)
-                    held = Builder()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    held.add(doc_id, text)
+                    if held.size >= shard_tokens or len(held.ids) >= shard_docs:
+                        yield close(held)
+                        held = Builder()
         if held.ids:
             yield close(held)
 
@@ -109,13 +132,14 @@ def document_frequencies(index: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for terms, starts in zip(batch.column(0), batch.column(1)):
-                names = terms.as_py().split()
-                df = np.diff(np.frombuffer(starts.as_py(), "<u4")).astype("<i8")
+            for blob in batch.column(0):
+                shard = unpacked(blob.as_py())
+                names = bytes(shard["terms"]).split()
+                df = np.diff(np.frombuffer(shard["starts"], "<u4")).astype("<i8")
                 for at in range(0, len(names), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 50_000], pa.binary()), pa.array(df[at : at + 50_000])], ["term", "df"])
 
-    return index.select("terms", "starts").mapInArrow(run, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return index.select("shard").mapInArrow(run, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -132,13 +156,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
                     counts += held.values()
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.binary()), pa.array(counts, pa.int64())], ["query_id", "term", "qtf"])
 
-    return queries.select("query_id", text_of().alias("text")).mapInArrow(run, "query_id long, term binary, qtf long")
+    return queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), text_of().alias("text")).mapInArrow(run, "query_id long, term binary, qtf long")
 
 
 class Shard:
     """A shard opened for one block of queries: postings of the block's terms with their contributions."""
 
-    def __init__(self, row: dict, wanted: dict[bytes, int], average: float):
+    def __init__(self, blob: bytes, wanted: dict[bytes, int], average: float):
+        row = unpacked(blob)
         self.ids = np.frombuffer(row["ids"], "<i8")
         self.known = np.frombuffer(row["known"], "u1").astype(bool)
         n = self.n = len(self.ids)
@@ -150,12 +175,12 @@ class Shard:
         self.places = places.astype(np.int64)
         self.parts = counts * (K1 + 1) / (counts + norm[self.places])
         self.first, self.count = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
-        pairs = [(w, i) for i, t in enumerate(row["terms"].split()) if (w := wanted.get(t)) is not None]
+        pairs = [(w, i) for i, t in enumerate(bytes(row["terms"]).split()) if (w := wanted.get(t)) is not None]
         if pairs:
             w, i = np.array(pairs).T
             self.first[w], self.count[w] = starts[i], starts[i + 1] - starts[i]
         self.runs = -(-n // RUN)
-        long = np.flatnonzero(self.count > n * LONG)
+        long = np.flatnonzero(self.count > max(n * LONG, RUN))
         self.row_of = np.full(len(wanted), -1, np.int64)
         self.row_of[long] = np.arange(len(long))
         dense = np.zeros((len(long), self.runs * RUN))
@@ -165,8 +190,11 @@ class Shard:
         self.dense = dense.reshape(len(long), self.runs, RUN)
         self.maxima = self.dense.max(axis=2) if len(long) else np.zeros((0, self.runs))
 
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the k best documents of positive score; ties go to the smaller doc_id."""
+    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the k best documents of positive score; ties go to the smaller doc_id.
+
+        Documents whose score is below least may be left out.
+        """
         held = self.count[terms] > 0
         terms, weights = terms[held], weights[held]
         rows = self.row_of[terms]
@@ -180,33 +208,74 @@ class Shard:
         rows, factors = rows[long], weights[long]
         sums = base.reshape(self.runs, RUN)
         bound = sums.max(axis=1) + (factors @ self.maxima[rows] if len(rows) else 0.0)
-        order = np.argsort(-bound, kind="stable")
-        places, scores, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for at in range(0, len(order), STEP):
-            runs = order[at : at + STEP]
-            runs = runs[(bound[runs] > 0) & (bound[runs] >= least * (1 - 1e-12))]
-            if not len(runs):  # the bounds fall from here on: no document left can be among the best
-                break
-            got = sums[runs] + (np.tensordot(factors, self.dense[rows[:, None], runs], 1) if len(rows) else 0.0)
-            here = np.flatnonzero((got.ravel() > 0) & (got.ravel() >= least * (1 - 1e-12)))
-            places = np.concatenate([places, (runs[:, None] * RUN + np.arange(RUN)).ravel()[here]])
-            scores = np.concatenate([scores, got.ravel()[here]])
-            if len(scores) > k:
-                least = np.partition(scores, len(scores) - k)[len(scores) - k]
-                best = scores >= least * (1 - 1e-12)
-                places, scores = places[best], scores[best]
+        places, scores = np.empty(0, np.int64), np.empty(0)
+        first = np.argsort(-bound, kind="stable")[:STEP]
+        pivots, cursor = first[bound[first] > 0], 0
+        open_ = bound > 0
+        open_[first] = False
+        while len(pivots):
+            if (reach := pivots[bound[pivots] >= least - SLACK]).size:
+                got = (sums[reach] + (np.tensordot(factors, self.dense[rows[:, None], reach], 1) if len(rows) else 0.0)).ravel()
+                here = np.flatnonzero((got > 0) & (got >= least - SLACK))
+                places = np.concatenate([places, (reach[:, None] * RUN + np.arange(RUN)).ravel()[here]])
+                scores = np.concatenate([scores, got[here]])
+                if len(scores) >= k:
+                    least = max(least, np.partition(scores, len(scores) - k)[len(scores) - k])
+                    best = scores >= least - SLACK
+                    places, scores = places[best], scores[best]
+            # The next pivots: from the cursor on, in document order, the runs whose bound reaches the threshold.
+            pivots = cursor + np.flatnonzero(open_[cursor:] & (bound[cursor:] >= least - SLACK))[:STEP]
+            cursor = int(pivots[-1]) + 1 if len(pivots) else self.runs
         scores = np.round(scores, 9)
         best = np.lexsort((self.ids[places], ~self.known[places], -scores))[:k]
         return places[best], scores[best]
 
 
+def shared_block(rows: DataFrame) -> tuple:
+    """rows: query_id, term, weight of one block. Its words, and query, word number and weight by query."""
+    got = rows.toArrow()
+    names = got.column("term").combine_chunks().dictionary_encode() if got.num_rows else pa.array([], pa.binary()).dictionary_encode()
+    ids, term, weight = got.column("query_id").to_numpy(), names.indices.to_numpy(), got.column("weight").to_numpy()
+    order = np.lexsort((term, ids))
+    return b" ".join(names.dictionary.to_pylist()), ids[order], term[order].astype(np.int64), weight[order]
+
+
+def best_rows(index: DataFrame, shared, average: float, k: int) -> DataFrame:
+    """query_id, doc_id, score: the k best rows of each query of the block in each task's shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ids, term, weight = shared.value
+        wanted = {t: i for i, t in enumerate(names.split())}
+        cuts = np.flatnonzero(np.diff(ids)) + 1
+        parts = list(zip([0, *cuts], [*cuts, len(ids)])) if len(ids) else []
+        none = np.empty(0), np.empty(0, bool), np.empty(0, np.int64)
+        held = [none] * len(parts)
+        for batch in batches:
+            for blob in batch.column(0):
+                shard = Shard(blob.as_py(), wanted, average)
+                for i, (a, z) in enumerate(parts):
+                    scores, known, doc_ids = held[i]
+                    places, more = shard.top(term[a:z], weight[a:z], k, scores[-1] if len(scores) == k else 0.0)
+                    if len(places):
+                        scores, known, doc_ids = np.concatenate([scores, more]), np.concatenate([known, shard.known[places]]), np.concatenate([doc_ids, shard.ids[places]])
+                        best = np.lexsort((doc_ids, ~known, -scores))[:k]
+                        held[i] = scores[best], known[best], doc_ids[best]
+        for at in range(0, len(parts), 1024):
+            some = held[at : at + 1024]
+            of = np.repeat([ids[a] for a, _ in parts[at : at + 1024]], [len(x[0]) for x in some])
+            scores, known, doc_ids = (np.concatenate([x[c] for x in some]) for c in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(doc_ids, pa.int64(), mask=~known), pa.array(scores)], ["query_id", "doc_id", "score"])
+
+    return index.select("shard").mapInArrow(run, "query_id long, doc_id long, score double")
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP, block_terms: int = BLOCK_TERMS, shard_tokens: int = SHARD_TOKENS, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """query_id, rank, doc_id, score: the k best documents of each query by BM25.
 
     queries: query_id, text; each text is a bag of words in which repeats count. Scores are rounded to nine
     decimals; ties go to the smaller doc_id, null ids last. Documents that share no word with a query aren't
     listed; null and empty texts match nothing and find nothing. Queries that repeat a query_id are one query
-    of all their words.
+    of all their words; those of null id aren't asked. An empty table, of documents or of queries, gives no rows.
     """
     spark = docs.sparkSession
     index = build_index(docs, shard_tokens, shard_docs)
@@ -215,45 +284,19 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, block_terms: int =
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = query_terms(queries).groupBy("query_id", "term").agg(F.sum("qtf").alias("qtf")).join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight"))
     weighted = written(weighted, "bm25-queries")
-    pairs = weighted.count()
-    blocks = max(1, math.ceil(pairs / block_terms))
-    average = size / max(1, n)
+    blocks = max(1, math.ceil(weighted.count() / block_terms))
     of_block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     found = []
     for b in range(blocks):
-        # One block, of a bounded number of terms, is sent to all shards.
-        got = weighted.where(of_block == b).select("query_id", "term", "weight").toArrow()
-        names = got.column("term").combine_chunks().dictionary_encode() if got.num_rows else pa.array([], pa.binary()).dictionary_encode()
-        ids, term, weight = got.column("query_id").to_numpy(), names.indices.to_numpy(), got.column("weight").to_numpy()
-        order = np.lexsort((term, ids))
-        shared = spark.sparkContext.broadcast((names.dictionary.to_pylist(), ids[order], term[order].astype(np.int64), weight[order]))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, ids, term, weight = shared.value
-            wanted = {t: i for i, t in enumerate(names)}
-            cuts = np.flatnonzero(np.diff(ids)) + 1
-            parts = list(zip([0, *cuts], [*cuts, len(ids)])) if len(ids) else []
-            for batch in batches:
-                for row in range(batch.num_rows):
-                    shard = Shard({c: batch.column(i)[row].as_py() for i, c in enumerate(batch.schema.names)}, wanted, average)
-                    out: tuple[list, list, list] = [], [], []
-                    for a, z in parts:
-                        places, scores = shard.top(term[a:z], weight[a:z], k)
-                        out[0].append(int(ids[a]))
-                        out[1].append([int(shard.ids[p]) if shard.known[p] else None for p in places])
-                        out[2].append(scores.tolist())
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.float64()))], ["query_id", "doc_ids", "scores"])
-
-        found.append(written(index.mapInArrow(run, "query_id long, doc_ids array<long>, scores array<double>"), f"bm25-found-{b}"))
-    lists = found[0]
+        # One block, of a bounded number of terms, is sent to all shards, and dropped again.
+        shared = spark.sparkContext.broadcast(shared_block(weighted.where(of_block == b).select("query_id", "term", "weight")))
+        found.append(written(best_rows(index, shared, size / max(1, n), k), f"bm25-found-{b}"))
+        shared.destroy()
+    discard(index)
+    discard(weighted)
+    rows = found[0]
     for more in found[1:]:
-        lists = lists.unionByName(more)
-
-    def merge(t):
-        ids = np.array([x for v in t.column("doc_ids").to_pylist() for x in v], object)
-        scores = np.array([x for v in t.column("scores").to_pylist() for x in v])
-        best = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i] is None, ids[i] or 0))[:k]
-        q = t.column("query_id")[0].as_py()
-        return pa.table({"query_id": pa.array([q] * len(best), pa.int64()), "rank": pa.array(range(1, len(best) + 1), pa.int32()), "doc_id": pa.array([ids[i] for i in best], pa.int64()), "score": pa.array([scores[i] for i in best], pa.float64())})
-
-    return lists.groupBy("query_id").applyInArrow(merge, "query_id long, rank int, doc_id long, score double")
+        rows = rows.unionByName(more)
+    # Tasks keep k rows a query before the shuffle, and the ordered rows of a query spill.
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last()))
+    return rows.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
