@@ -217,7 +217,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, f
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of docs whose score stays below the threshold, with all columns, in one pass over the texts."""
+    """The rows of docs whose score stays below the threshold, with all columns, in one pass over the texts.
+
+    Null and empty texts are scored like others; rows of repeated or null doc_id are judged one by one, and a score on
+    the threshold goes. Without labels of both classes all rows share one score. An empty table gives no rows.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fit_rows))
     at_text = docs.columns.index("text")
 
