@@ -2,10 +2,10 @@
 
 The pieces of a pre-token are counted once, not once per occurrence, and no id sequence is built. The
 ``hot`` most frequent pre-tokens, a fixed number, are counted first and go to every task as a table of a
-known size. The other pre-tokens of a document go to the task that owns them, which counts each distinct
-one and joins the number to the frequencies. Frequencies travel by the block: a block of documents sends
-one packed row to each owner and gets one vector of sums back, so rows grow with blocks and not with
-documents times owners.
+known size. The other pre-tokens of a document go to the partition that owns them, by a hash. There a table of
+the distinct ones, each counted once, is joined to the frequencies: a partition's rows come with its part of that
+table first. Frequencies travel by the block: a block of documents sends one packed row to each owner and gets
+one vector of sums back, so rows grow with blocks and not with documents times owners.
 """
 from __future__ import annotations
 
@@ -27,6 +27,7 @@ HOT = 65_536
 LIMIT = 2048
 BLOCK = 1000
 BLOCK_BYTES = 8_000_000
+#: Names that a task passes on once while it remembers them.
 KNOWN = 200_000
 
 
@@ -138,18 +139,43 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, h
             schema = pa.schema([("block", pa.int64()), ("owner", pa.int32()), ("ids", pa.list_(pa.int64())), ("bytes", pa.list_(pa.int64())), ("sums", pa.list_(pa.int64())), ("packed", pa.binary())])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pre-tokens of packed rows with their owners; most repeats within a task are left out."""
+        met: set[str] = set()
+        for batch in batches:
+            for owner, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                names = [n for n in unpack(blob.as_py())[0] if n not in met]
+                if len(met) + len(names) > KNOWN:
+                    met.clear()
+                met.update(names)
+                yield pa.RecordBatch.from_arrays([pa.array([owner] * len(names), pa.int32()), pa.array(names, pa.string())], ["owner", "pretoken"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre = shared_pretokenizer(shared.value[0])
-        pieces = Memo(pre.pieces, KNOWN)
         for batch in batches:
-            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                names, held, at, n = unpack(blob.as_py())
-                counts = np.repeat(np.fromiter(map(pieces, names), np.int64, len(names)), held)
-                got = np.bincount(at, weights=counts * n).astype(np.int64)  # exact below 2^53
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pre.pieces(p) for p in batch.column(1).to_pylist()], pa.int32())], ["owner", "pretoken", "pieces"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, pieces = None, {}  # rows come by owner, its distinct pre-tokens before its blocks
+        for batch in batches:
+            for at, name, n, block, blob in zip(*(batch.column(i) if i == 4 else batch.column(i).to_pylist() for i in range(5))):
+                if at != owner:
+                    owner, pieces = at, {}
+                if name is not None:
+                    pieces[name] = n
+                    continue
+                names, held, place, times = unpack(blob.as_py())
+                counts = np.repeat(np.fromiter(map(pieces.__getitem__, names), np.int64, len(names)), held)
+                got = np.bincount(place, weights=counts * times).astype(np.int64)  # exact below 2^53
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([got.tolist()], pa.list_(pa.int64()))], ["block", "sums"])
 
     packed = written(rows.mapInArrow(split, BLOCK_SCHEMA), "pretoken-blocks")
-    back = packed.where("owner >= 0").repartition(owners, "owner").select("block", "packed").mapInArrow(own, "block long, sums array<long>")
+    rare = packed.where("owner >= 0").select("owner", "block", "packed")
+    distinct = rare.select("owner", "packed").mapInArrow(named, "owner int, pretoken string").dropDuplicates()
+    counts = distinct.mapInArrow(counted, "owner int, pretoken string, pieces int")
+    joined = counts.select("owner", "pretoken", "pieces", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("packed")).unionByName(
+        rare.select("owner", F.lit(None).cast("string").alias("pretoken"), F.lit(None).cast("int").alias("pieces"), "block", "packed"))
+    back = joined.repartition(owners, "owner").sortWithinPartitions("owner", F.col("block").isNotNull()).mapInArrow(own, "block long, sums array<long>")
 
     def close(t: pa.Table) -> pa.Table:
         base = next(i for i, x in enumerate(t.column("ids").to_pylist()) if x is not None)
