@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vellumine.llm import bm25, boosting, bpe_codec, components, exact_dedup, mixing, pii, pretokens, simhash, suffix_dedup, token_counts, toxicity, url_reputation
@@ -184,8 +185,8 @@ def removed_by_force(texts, length):
     return out
 
 
-@pytest.mark.parametrize("group", [suffix_dedup.GROUP, 2])
-def test_suffix_dedup(spark, docs, empty, group):
+@pytest.mark.parametrize(("group", "hot"), [(suffix_dedup.GROUP, suffix_dedup.HOT_ROWS), (2, 1)])
+def test_suffix_dedup(spark, docs, empty, group, hot):
     rng = random.Random(11)
     letters = lambda n: "".join(rng.choice("abcdefgh ä") for _ in range(n))
     passage, other = letters(130), letters(90)
@@ -194,11 +195,16 @@ def test_suffix_dedup(spark, docs, empty, group):
     table = spark.createDataFrame([(i, t) for i, t in enumerate(made)] + [(3, made[3])], "doc_id long, text string").repartition(3)
     rows = plain(table)
     want = [(i, *x) for (i, _), x in zip(rows, removed_by_force([t.encode() for _, t in rows], 80))]
-    same([tuple(r) for r in suffix_dedup.without_repeats(table, 80, 40, group).collect()], want)
+    got = suffix_dedup.without_repeats(table, 80, 40, group, hot_rows=hot).collect()
+    same([tuple(r)[:5] for r in got], want)
+    cores = Counter(t.encode()[i : i + 40] for _, t in rows for i in range(len(t.encode()) - 39))
+    for r in got:  # every repeat shows in a shared core, and a shared core is a string of 40 bytes that stands twice
+        text = next(t for i, t in rows if i == r.doc_id).encode()
+        assert (r.n_removed == 0 or r.n_shared > 0) and (r.n_shared == 0 or any(cores[text[i : i + 40]] > 1 for i in range(len(text) - 39)))
     if group > 2:
         rows = plain(docs)
         want = [(i, *x) for (i, _), x in zip(rows, removed_by_force([t.encode() for _, t in rows], 400))]
-        same([tuple(r) for r in suffix_dedup.without_repeats(docs).collect()], want)
+        same([tuple(r)[:5] for r in suffix_dedup.without_repeats(docs).collect()], want)
         assert suffix_dedup.without_repeats(empty).collect() == []
 
 
@@ -234,9 +240,30 @@ def test_bm25(docs, empty):
         got, must = sorted((r[0], r[1], round(r[3], 5)) for r in got), sorted((q, r, round(s, 5)) for q, r, _, s in want)
         assert [x[:2] for x in got] == [x[:2] for x in must] and np.allclose([x[2] for x in got], [x[2] for x in must], atol=2e-5)
     assert bm25.search(empty, queries, 5).collect() == []
+    assert bm25.search(docs, queries.selectExpr("CAST(NULL AS LONG) AS query_id", "text"), 5).collect() == []
     assert bm25.search(docs, queries.where("false"), 5).collect() == []
 
 
+def test_bm25_many_and_uneven_shards(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(400)], k=rng.randint(1, 60))) for _ in range(900)]
+    texts += [" ".join(rng.choices(words, k=20_000)) for _ in range(3)] + [texts[5]] * 20
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    queries = table.where("doc_id % 90 = 0").selectExpr("doc_id AS query_id", "text")
+    got = [[tuple(r) for r in bm25.search(table, queries, 7, block, shard, docs).orderBy("query_id", "rank").collect()] for block, shard, docs in ((10**9, 10**9, 10**9), (500, 3000, 10**9), (10**9, 10**9, 300))]
+    held = [Counter(bm25.tokens(t)) for t in texts]
+    n, average, df = len(texts), sum(c.total() for c in held) / len(texts), Counter(t for c in held for t in c)
+    for q in range(0, n, 90):
+        scores = [sum(m * math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * c.total() / average)) for t, m in held[q].items() if t in c) for c in held]
+        want = sorted((-round(s, 9), i) for i, s in enumerate(scores) if s > 0)[:7]
+        for rows in got:
+            mine = [r for r in rows if r[0] == q]
+            assert [r[1] for r in mine] == list(range(1, len(want) + 1))
+            assert np.allclose([r[3] for r in mine], [-s for s, _ in want], atol=1e-6)
+            assert [r[2] for r in mine if r[3] > -want[-1][0] + 1e-6] == [i for s, i in want if -s > -want[-1][0] + 1e-6]
+
+
 def brute_pii(t):
     found = [(*m.span(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     found += [(*m.span(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
@@ -269,6 +296,7 @@ def test_pii(spark, empty):
         assert got[i]["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
         assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(x[2] == k for x in want) for k in pii.KINDS]
         assert set(line.split(",")) <= set(got[i]["spans"].split(",")) or not line
+        assert got[i]["n_spans"] == len(want) + got[i]["n_added"] == len([x for x in got[i]["spans"].split(",") if x])
     at = disguised.index("jane")
     assert got[len(texts)]["spans"] == f"email:{at}:{disguised.index(' today')}"
     assert pii.find_pii(empty).collect() == []
@@ -399,5 +427,99 @@ def test_reputation_shrinks_towards_the_level_above(spark):
     pages = spark.createDataFrame([(i, h) for i, h in enumerate(["bad.x.com"] * 200 + ["new.x.com"] + ["ok.y.net"] * 200)], "page_id long, host string")
     outcomes = spark.createDataFrame([(i, int(i < 200)) for i in range(401) if i != 200], "page_id long, bad int")
     got = {r["host"]: r for r in url_reputation.reputations(pages, outcomes).collect()}
-    assert got["bad.x.com"]["lower"] > 0.9 and got["ok.y.net"]["mean"] < 0.05
-    assert 0.3 < got["new.x.com"]["mean"] < 1 and got["new.x.com"]["lower"] < got["bad.x.com"]["lower"]
+    assert got["bad.x.com"]["mean"] > 0.9 and got["bad.x.com"]["bad_chance"] > 0.99 and got["ok.y.net"]["mean"] < 0.05 and got["ok.y.net"]["bad_chance"] < 0.01
+    assert 0.3 < got["new.x.com"]["mean"] < got["bad.x.com"]["mean"] and got["new.x.com"]["bad_chance"] <= got["bad.x.com"]["bad_chance"]
+
+
+def test_mass_of_a_beta_posterior(spark):
+    rng = np.random.default_rng(5)
+    cases = [(0.3, 2.0, 5.0), (0.345, 40.0, 60.0), (0.1, 0.02, 1.98), (0.7, 300.0, 100.0), (0.26, 26_000.0, 74_000.0), (0.5, 1.0, 1.0)]
+    got = spark.createDataFrame(cases, "x double, a double, b double").select("x", "a", "b", url_reputation.mass_above(F.col("x"), F.col("a"), F.col("b")).alias("m")).collect()
+    for x, a, b, m in got:
+        assert abs(m - (rng.beta(a, b, 400_000) > x).mean()) < 0.004, (x, a, b)
+    assert abs(next(m for x, a, b, m in got if a == 2) - (1 - (1 - 0.7**6 - 6 * 0.3 * 0.7**5))) < 1e-9  # by the binomial sum
+
+
+def test_a_bad_host_is_blocked_whatever_the_base_rate(spark):
+    for others in (0, 5, 10):  # of twenty, so many pages of each other host are bad
+        urls, labels = [], []
+        for h in range(12):
+            for k in range(20):
+                bad = k < (18 if h == 0 else others)
+                labels.append((len(urls), 0 if bad else 1, 0))
+                urls.append(f"http://h{h}.site{h}.net/p{k}")
+        urls += ["http://h0.site0.net/unlabelled", "http://h3.site3.net/unlabelled"]
+        pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        got = {r["page_id"]: r for r in url_reputation.url_filter(pages, known).collect()}
+        assert {r["host"] for r in got.values() if r["verdict"] == "block"} == {"h0.site0.net"}, others
+        assert got[240]["verdict"] == "block" and got[241]["verdict"] == "allow" and got[240]["rule"] is None
+
+
+def brute_features(text, lexicon):
+    """The features of a text, word by word."""
+    words = text.split()
+    n = max(1, len(words))
+
+    def best(w):
+        return max([lexicon.get(x, 0.0) for x in (["=" + w] + [w[:k] + "*" for k in range(3, 9) if len(w) > k] if w else [])], default=0.0)
+
+    total = most = strong = weak = hidden = second = upper = inner = doubled = letters = 0
+    kinds, hits, marks = set(), [], []
+    for i, raw in enumerate(words):
+        word = re.sub(r"^[\W_]+|[\W_]+$", "", raw).lower()
+        weight = best(word)
+        plain = re.sub(r"(.)\1{2,}", r"\1", re.sub(r"[\W\d_]", "", raw.lower().translate(toxicity.STAND_INS)))
+        total += weight
+        most = max(most, weight)
+        if weight >= 3:
+            strong, kinds = strong + 1, kinds | {raw}
+            hits.append(i)
+        elif weight:
+            weak += 1
+        hidden += not weight and plain != word and best(plain) >= 3
+        second += word in toxicity.SECOND_PERSON
+        marks += [i] * (word in toxicity.SECOND_PERSON)
+        upper += len(raw) > 1 and raw.isupper()
+        inner += bool(re.search(r"[^\W\d_][\d@$!|*#+]+[^\W\d_]", raw))
+        doubled += bool(re.search(r"(.)\1{2,}", word))
+        letters += len(word)
+    away = [min(abs(h - m) for m in marks) for h in hits] if marks else []
+    near, gap = (sum(a <= toxicity.NEAR for a in away) / len(away), 1 / (1 + min(away))) if away else (0.0, 0.0)
+    size = max(1, len(text.encode()))
+    capitals, punctuation = len(re.findall("[A-Z]", text)), len(re.findall(r"[!-/:-@\[-`{-~]", text))
+    top = max((words.count(w) for w in words), default=0)
+    return [
+        total / n, strong / n, math.log1p(strong), len(kinds), weak / n, math.log1p(weak), most, total / math.sqrt(n), hidden / n, math.log1p(hidden), second / n, near, gap, capitals / size, upper / n,
+        punctuation / size, text.count("!") / n, text.count("?") / n, inner / n, doubled / n, letters / n, top / n if n > 20 else 0.0,
+    ]
+
+
+def test_toxicity_features():
+    rng = random.Random(12)
+    lexicon = {"=idiot": 4.0, "idi*": 3.5, "scu*": 3.2, "=meh": 1.5, "jer*": 2.0}
+    words = ["idiot", "Idiots!", "1d10t", "id!ot", "SCUM", "scuuuum", "meh", "jerky", "you", "YOUR", "du", "river", "ÜBER", "a", "?!", "x_y", "nooo", "", "it's"]
+    read = toxicity.Extractor(lexicon)
+    for text in ["", " ", "idiot", "you", *[" ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(300)]]:
+        assert np.allclose(read(text.encode()), brute_features(text, lexicon)), text
+
+
+def test_segmentation_is_the_best_of_all():
+    rng = random.Random(13)
+    for _ in range(200):
+        n = rng.randint(1, 9)
+        found = []
+        for _ in range(rng.randint(0, 8)):
+            i = rng.randrange(n)
+            found.append((i, rng.randint(i + 1, n), rng.randrange(4), [rng.uniform(-1, 2)]))
+        weights = np.array([[1.0], [0.5], [2.0], [-1.0]])
+        score = lambda s: float(weights[s[2], 0] * s[3][0])
+        best = 0.0
+        for mask in range(1 << len(found)):
+            held = sorted((found[k] for k in range(len(found)) if mask >> k & 1), key=lambda s: s[:2])
+            if all(a[1] <= b[0] for a, b in zip(held, held[1:])):
+                best = max(best, sum(map(score, held)))
+        got = pii.viterbi(n, found, weights)
+        assert all(a[1] <= b[0] for a, b in zip(got, got[1:]))
+        took = sum(max(score(s) for s in found if s[:3] == g) for g in got)
+        assert math.isclose(took, best, abs_tol=1e-9)

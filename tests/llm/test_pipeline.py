@@ -3,11 +3,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
+from collections import Counter
 
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
-from vellumine.llm import pretokens
+from vellumine.llm import mixing, pretokens, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -100,3 +103,75 @@ def test_run(spark):
     kept = sorted({r.doc_id for r in got})
     assert len({texts[i] for i in kept}) == len(kept)
     assert brute_roots([texts[i] for i in kept]) == list(range(len(kept)))
+
+
+CLASH = "row string, id long, node long, digest string, copies int, source_size long, root long, draw long, key string, n long"
+
+
+@pytest.fixture(scope="module")
+def uneven(spark):
+    """Nulls in any column, ties, repeated rows, a long text, and columns named like the operators' own."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(500)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(6, 80))) for _ in range(40)]
+    rows = [(i, t, "en", ["a", "b", None][i % 3], len(t)) for i, t in enumerate(texts)]
+    rows += [(100, texts[3], "en", "a", 1), (101, None, None, None, None), (102, "", "en", "b", 0), (None, texts[4], "en", "a", 1), (None, "only here", "en", None, 1), (103, texts[5], "en", "a", 1), (103, texts[5], "en", "a", 1), (103, "same id, other text", "en", "a", 1)]
+    rows += [(104, " ".join(rng.choices(words, k=30_000)), "en", "c", 1), (105, " ".join(texts[6].split()[:-1]), "en", "b", 1)]
+    full = [(*r, f"r{j}", j % 4, None, "d", 7, 1, j, 2, None, 3) for j, r in enumerate(rows)]
+    return spark.createDataFrame(full, f"{DOCS}, {CLASH}").repartition(3)
+
+
+def rows_of(df):
+    return sorted(map(repr, map(tuple, df.collect())))
+
+
+def test_stages_on_uneven_rows(spark, uneven):
+    every = [tuple(r) for r in uneven.collect()]
+    key = lambda r: (r[0] is not None, r[0] or 0)  # noqa: E731  null ids are smallest
+    # Exact copies: the largest doc_id of a text, one row of it.
+    got = pipeline.drop_copies(spark, uneven, "")
+    assert got.columns == uneven.columns
+    got = [tuple(r) for r in got.collect()]
+    best = {}
+    for r in every:
+        best[r[1] or ""] = max(best.get(r[1] or "", (False, 0)), key(r))
+    assert sorted((r[1] or "", key(r)) for r in got) == sorted(best.items()) and set(map(repr, got)) <= set(map(repr, every))
+    # Near copies: one row of each group, that of the least id, nulls last.
+    got = pipeline.drop_near_copies(spark, uneven, "")
+    assert got.columns == uneven.columns
+    got = [tuple(r) for r in got.collect()]
+    roots, least = brute_roots([r[1] for r in every]), {}
+    for r, root in zip(every, roots):
+        least[root] = min(least.get(root, (True, 0)), (r[0] is None, r[0] or 0))
+    assert sorted((r[0] is None, r[0] or 0) for r in got) == sorted(least.values()) and set(map(repr, got)) <= set(map(repr, every))
+    # The mix: as many rows of each document as its share says, all columns with them.
+    got = pipeline.mix_sources(spark, uneven, "")
+    assert got.columns == uneven.columns
+    want = Counter()
+    for r in mixing.mix(uneven).collect():
+        want[r.doc_id, r.source, r.size] += 1 if r.size == 0 else r.copies
+    have = Counter((r.doc_id, r.source, len(re.findall("[^\x20\x09-\x0d]+", r.text or ""))) for r in got.collect())
+    assert have == +want
+    # Encoding keeps every row.
+    got = pipeline.encode(spark, uneven, "")
+    library = Tokenizer.from_str(pretokens.tokenizer_json())
+    assert sorted((repr(r.doc_id), list(r.ids)) for r in got.collect()) == sorted((repr(r[0]), library.encode(r[1] or "", add_special_tokens=False).ids) for r in every)
+
+
+def test_toxic_documents_go(spark, tmp_path, uneven):
+    labels = [(i, 1, 0) for i in range(40)] + [(i, 1, 1) for i in range(200, 240)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    blank = [None] * (len(uneven.columns) - 5)
+    bad = spark.createDataFrame([(i, f"you idiot scum {i} " * 4, "en", "a", 1, *blank) for i in range(200, 240)], uneven.schema)
+    docs = uneven.unionByName(bad)
+    got = pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    want = {(r.doc_id, r.predicted) for r in toxicity.toxicity(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
+    assert rows_of(got) == rows_of(docs.where(~docs.doc_id.isin([i for i, p in want if p]) | docs.doc_id.isNull()))
+    assert {i for i, p in want if p} >= set(range(200, 240)) and not any(p for i, p in want if i is not None and i < 200)
+
+
+def test_stages_on_no_rows(spark, tmp_path, uneven):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, uneven.limit(0), str(tmp_path)).collect() == []
