@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..corpus import table
+from ..corpus import spread, table
 from ..operators import appearance as A
 from ..operators.drawing import png
 from ..session import shared_folder
@@ -39,7 +39,7 @@ def files(spark: SparkSession, sf_dir: str, build: Callable[[int, str, int], byt
         for t in batches:
             yield pd.DataFrame({"id": t["p_partkey"], "content": [build(int(k), n, int(s)) for k, n, s in zip(t["p_partkey"], t["p_name"], t["p_size"])]})
 
-    return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").mapInPandas(run, "id long, content binary")
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")).mapInPandas(run, "id long, content binary")
 
 
 def tree(pages: list[bytes], catalog: bytes = b"", node: bytes = b"", rest: dict[int, bytes] | None = None) -> dict[int, bytes]:
@@ -218,18 +218,10 @@ def plump_file(k: int, name: str, size: int) -> bytes:
 @query("""SELECT p_partkey AS id, ['screen', 'print', 'archive', 'custom'][p_partkey % 4 + 1] AS profile, p_size::BIGINT + 40 AS lines, true AS shorter, p_partkey % 4 <> 2 AS in_streams,
  md5((SELECT string_agg(p_name || ' ' || i, chr(10) ORDER BY i) FROM range(p_size + 40) t(i))) AS text_md5 FROM part""")
 def pdf_optimized(spark, sf_dir):
-    def run(batches):
-        for t in batches:
-            made = []
-            for k, data in zip(t["id"], t["content"]):
-                profile = list(pdf.PROFILES)[k % 4]
-                new = pdf.optimized(bytes(data), profile)
-                made.append((k, profile, len(new) < len(data), b"/ObjStm" in new, new))
-            yield pd.DataFrame(made, columns=["id", "profile", "shorter", "in_streams", "content"])
-
-    new = files(spark, sf_dir, plump_file).mapInPandas(run, "id long, profile string, shorter boolean, in_streams boolean, content binary")
-    shown = pdf.texts(new, "id").groupBy("id").agg(F.count(F.lit(1)).alias("lines"), F.array_sort(F.collect_list(F.struct("line_index", "text"))).alias("t"))
-    return new.drop("content").join(shown.select("id", "lines", F.md5(F.array_join(F.transform("t", lambda x: x["text"]), "\n")).alias("text_md5")), "id")
+    profiles = list(pdf.PROFILES)
+    new = pdf.optimizations(files(spark, sf_dir, plump_file), lambda k: profiles[k % 4], "id")
+    shown = F.md5(F.array_join("lines", "\n"))
+    return new.select("id", "profile", F.size("lines").cast("long").alias("lines"), "shorter", "in_streams", shown.alias("text_md5"))
 
 
 # Sinks
