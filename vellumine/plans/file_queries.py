@@ -98,12 +98,7 @@ def outline_file(k: int, name: str, size: int) -> bytes:
 @query("""SELECT p_partkey AS id, i::INT AS ordinal, CASE WHEN i IN (1, 2) THEN 0 END::INT AS parent, (i IN (1, 2))::INT AS depth, [p_name, 'größe ' || p_size, 'old – ' || p_partkey, 'last'][i + 1] AS title, [1, 2, 1, 0][i + 1]::INT AS page,
  [p_name, p_name || '/größe ' || p_size, p_name || '/old – ' || p_partkey, 'last'][i + 1] AS path FROM part, range(4) t(i)""")
 def pdf_outline(spark, sf_dir):
-    from ..operators.tree import paths
-
-    rows = pdf.outlines(files(spark, sf_dir, outline_file), "id")
-    key = lambda c: F.concat_ws(":", "id", c)
-    named = paths(rows.select(key("ordinal").alias("node"), F.when(F.col("parent").isNotNull(), key("parent")).alias("parent"), "title"), "title").select("node", "path")
-    return rows.withColumn("node", key("ordinal")).join(named, "node").drop("node")
+    return pdf.outline_paths(files(spark, sf_dir, outline_file), "id")
 
 
 def tagged_file(k: int, name: str, size: int) -> bytes:
