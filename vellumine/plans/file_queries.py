@@ -200,8 +200,8 @@ def grown_file(k: int, name: str, size: int) -> bytes:
  CASE WHEN p_partkey % 7 > 0 AND p_partkey % 5 > 0 THEN 1 END::INT AS revisions, CASE WHEN p_partkey % 7 > 0 AND p_partkey % 5 > 0 THEN 5 END::INT AS objects, CASE WHEN p_partkey % 7 > 0 AND p_partkey % 5 > 0 THEN 2 END::INT AS pages FROM part""")
 def pdf_sanitized(spark, sf_dir):
     rows = pdf.sanitized(files(spark, sf_dir, grown_file), "id")
-    after = pdf.summaries(rows.where("content IS NOT NULL").select("id", "content"), "id").select("id", "revisions", "objects", F.col("page_count_walked").alias("pages"))
-    return rows.select("id", "revisions_before", "refused").join(after, "id", "left")
+    after = pdf.summaries(rows, "id", ["revisions_before", "refused"])
+    return after.select("id", "revisions_before", "refused", "revisions", "objects", F.col("page_count_walked").alias("pages"))
 
 
 def plump_file(k: int, name: str, size: int) -> bytes:
