@@ -18,7 +18,7 @@ def parts(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["pdf_optimized", "pdf_outline", "pdf_sanitized"])
+@pytest.mark.parametrize("name", ["pdf_optimized", "pdf_outline", "pdf_sanitized", "pdf_reading_order"])
 def test_files_are_dealt_out_and_read_once(spark, parts, name):
     rows = getattr(Q, name)(spark, parts)
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
