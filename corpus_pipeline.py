@@ -31,7 +31,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of a group linked by five-word shingles (similarity 0.8 or more), the document of the least doc_id.
 
-    Null ids come last; ties of id go by text and then by the other columns. Empty texts are one group.
+    SimHash blocks and bands of minima find the pairs, whole shingle sets decide. Null ids come last; ties of id go by text and then by the other columns. Empty texts are one group.
     """
     return simhash.keep_representatives(docs)
 

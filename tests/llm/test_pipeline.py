@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
-from vellumine.llm import mixing, pretokens, toxicity
+from vellumine.llm import minhash, mixing, pretokens, simhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -73,6 +73,24 @@ def test_near_copies_in_dealt_groups(spark, monkeypatch):
     assert sorted(r.doc_id for r in got) == [i for i, r in enumerate(brute_roots(texts)) if r == i]
 
 
+def test_near_copies_by_fingerprint_blocks(spark, monkeypatch):
+    """Without the bands of minima the SimHash blocks find what is within their bits; similarity decides on it."""
+    monkeypatch.setattr("vellumine.llm.minhash.sketch_links", lambda nodes, values: [])
+    rng, texts = random.Random(3), []
+    for k in range(30):
+        base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        texts += [" ".join(base), " ".join([*base[:-1], f"other{k}"])]
+    prints = [simhash.majority(minhash.shingle_set(t.encode())) for t in texts]
+    want = [i for i in range(60) if i % 2 == 0 or (prints[i] ^ prints[i - 1]).bit_count() > simhash.DISTANCE]
+    assert 30 <= len(want) < 45
+    got = pipeline.drop_near_copies(spark, frame(spark, enumerate(texts)), "").collect()
+    assert sorted(r.doc_id for r in got) == want
+    # Equal fingerprints of texts that aren't similar.
+    monkeypatch.setattr("vellumine.llm.simhash.majority", lambda hashes: 5)
+    got = pipeline.drop_near_copies(spark, frame(spark, enumerate(texts[::2])), "").collect()
+    assert len(got) == 30
+
+
 def test_near_copies_of_repeated_and_null_ids(spark):
     near = lambda w: (" ".join(f"{w}{i}" for i in range(60)), " ".join(f"{w}{i}" for i in range(59)))
     (b, b2), (c, c2), (e, e2) = near("b"), near("c"), near("e")

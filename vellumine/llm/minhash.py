@@ -1,7 +1,7 @@
-"""Near copies by shingle similarity, for simhash.keep_representatives: bands of minima find candidates, whole shingle sets decide.
+"""Near copies by shingle similarity, for simhash.near_components: bands of minima add to its candidates, whole shingle sets decide.
 
 Pairs of similarity 0.8 differ in ten of 64 SimHash bits on average, and no choice of pigeonhole blocks finds those
-without comparing a large share of all pairs; so blocks of minima take the place of blocks of bits here.
+without comparing a large share of all pairs; so blocks of minima find what blocks of bits don't reach.
 
 Two texts are linked where the Jaccard similarity of their sets of five-word shingles is at least
 ``SIMILARITY``. Texts that agree on a whole band of ``ROWS`` minima meet in a bucket; there a sketch of one
@@ -20,8 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, text_of, written
-from .components import connected_components
+from .common import text_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -53,21 +52,23 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """node, bands (a hash per band), sketch (a byte per minimum): one row per row of docs."""
+def sketches(docs: DataFrame, fingerprint: Callable[[np.ndarray], int]) -> DataFrame:
+    """node, fp (fingerprint() of the shingle set, as a signed long), bands (a hash per band), sketch (a byte per minimum): one row per row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                bands, bytes_ = [], []
+                prints, bands, bytes_ = [], [], []
                 for text in batch.column(1).to_pylist():
-                    m = minima(shingle_set(text))
+                    hashes = shingle_set(text)
+                    m = minima(hashes)
+                    prints.append(fingerprint(hashes))
                     bands.append([xxhash.xxh64_intdigest(r.tobytes(), SEED) - (1 << 63) for r in m.reshape(BANDS, ROWS)])
                     bytes_.append((m * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bands, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())], ["node", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, "<u8").view("<i8")), pa.array(bands, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())], ["node", "fp", "bands", "sketch"])
 
-    return docs.select(node_of().alias("node"), text_of().cast("binary").alias("text")).mapInArrow(run, "node long, bands array<long>, sketch binary")
+    return docs.select(node_of().alias("node"), text_of().cast("binary").alias("text")).mapInArrow(run, "node long, fp long, bands array<long>, sketch binary")
 
 
 def node_of():
@@ -153,20 +154,3 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.binary())], ["root", "node", "value"])
 
     return rows.mapInArrow(run, "root long, node long, value binary")
-
-
-def near_components(docs: DataFrame) -> DataFrame:
-    """node, root: the component of each distinct text that has a near copy of another text; other texts don't appear.
-
-    Null texts count as empty; a text of fewer words than a shingle is one shingle. An empty table gives no rows.
-    """
-    drawn = written(sketches(docs).dropDuplicates(["node"]), "minhash-sketches")
-    keyed = drawn.select("node", F.col("sketch").alias("value"), F.posexplode("bands").alias("band", "key"))
-    coarse = written(connected_components(grouped_links(keyed, ["band", "key"], BUCKET_CHUNK, sketch_links)), "minhash-groups")
-    discard(drawn)
-    texts = docs.select(node_of().alias("node"), text_of().cast("binary").alias("text")).join(coarse, "node").select("root", "node", "text")
-    sets = written(shingle_sets(texts).dropDuplicates(["node"]), "minhash-sets")
-    out = written(connected_components(grouped_links(sets, ["root"], GROUP_CHUNK, set_links)), "minhash-components")
-    discard(coarse)
-    discard(sets)
-    return out

@@ -6,6 +6,10 @@ Distinct fingerprints are joined on those keys; every pair in a key's bucket is
 and a bucket reports only a spanning forest of its links, never all pairs. Buckets of more than ``CHUNK``
 fingerprints are dealt into chunks, and each pair of chunks is a group of its own, so no group grows with
 the data.
+
+near_components links texts by shingle similarity instead: fingerprints of the shingle sets, joined on the same
+blocks, find the pairs within DISTANCE bits, bands of minima (minhash) those that 64 bits don't reach, and whole
+shingle sets decide on both.
 """
 from __future__ import annotations
 
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import text_of, written
+from .common import discard, text_of, written
 from .components import connected_components
 
 SHINGLE = 3
@@ -51,6 +55,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > m, bitorder="little").view("<u8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long): one row per row of docs."""
 
@@ -147,18 +159,48 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, blocks: int = BLOCKS, di
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def print_links(drawn: DataFrame) -> DataFrame:
+    """drawn: node, fp. a, b: nodes whose components are those of all nodes within DISTANCE bits of each other."""
+    firsts = written(drawn.groupBy("fp").agg(F.min("node").alias("first")), "near-fingerprints")
+    of = lambda c, name: firsts.select(F.col("fp").alias(c), F.col("first").alias(name))
+    apart = links(firsts.select("fp")).join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    out = written(apart.unionByName(drawn.join(firsts, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))), "near-links")
+    discard(firsts)
+    return out
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """node, root: the component of each distinct text that has a near copy of another text; other texts don't appear.
+
+    Candidates are the pairs within DISTANCE bits, all of them, and those that share a band of minima. Null texts count
+    as empty; a text of fewer words than a shingle is one shingle. An empty table gives no rows.
+    """
+    drawn = written(minhash.sketches(docs, majority).dropDuplicates(["node"]), "near-sketches")
+    close = print_links(drawn.select("node", "fp"))
+    keyed = drawn.select("node", F.col("sketch").alias("value"), F.posexplode("bands").alias("band", "key"))
+    further = minhash.grouped_links(keyed, ["band", "key"], minhash.BUCKET_CHUNK, minhash.sketch_links)
+    coarse = written(connected_components(close.unionByName(further)), "near-groups")
+    discard(drawn)
+    discard(close)
+    texts = docs.select(minhash.node_of().alias("node"), text_of().cast("binary").alias("text")).join(coarse, "node").select("root", "node", "text")
+    sets = written(minhash.shingle_sets(texts).dropDuplicates(["node"]), "near-sets")
+    out = written(connected_components(minhash.grouped_links(sets, ["root"], minhash.GROUP_CHUNK, minhash.set_links)), "near-components")
+    discard(coarse)
+    discard(sets)
+    return out
+
+
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """One row of docs for each group of near copies, with all columns whatever their names.
 
-    Texts are linked at a similarity of 0.8 or more of their sets of five-word shingles (minhash.near_components: 64
-    bits don't reach that far, see there). The row of the least doc_id stays, null ids last; then by text, then by the
+    Texts are linked at a similarity of 0.8 or more of their sets of five-word shingles (near_components). The row of the least doc_id stays, null ids last; then by text, then by the
     other columns. Null texts count as empty, empty texts are one group, equal texts are near copies. An empty table
     gives no rows.
     """
     key = ["none", "id", "node"]
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), minhash.node_of().alias("node"), F.xxhash64("*").alias("draw"))
     # A text without a near copy is a component of its own; rows of equal text share it.
-    rooted = keyed.select(*key).join(minhash.near_components(docs), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = keyed.select(*key).join(near_components(docs), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = written(rooted.groupBy("root").agg(F.min(F.struct(*key)).alias("first")).select("first.*"), "near-copies")
     nth = F.row_number().over(Window.partitionBy(*key).orderBy("draw"))
     return keyed.join(first, key, "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")
