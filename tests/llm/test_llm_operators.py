@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -523,3 +524,17 @@ def test_segmentation_is_the_best_of_all():
         assert all(a[1] <= b[0] for a, b in zip(got, got[1:]))
         took = sum(max(score(s) for s in found if s[:3] == g) for g in got)
         assert math.isclose(took, best, abs_tol=1e-9)
+
+
+def test_a_python_worker_keeps_no_words_of_finished_tasks(spark, docs):
+    bpe_codec.bpe_round_trip(docs).collect()
+    content = pretokens.tokenizer_json()
+
+    def kept(batches):
+        codec = bpe_codec.shared_codec(content)
+        for batch in batches:
+            size = len(codec.young) + len(codec.old) + len(codec.words.young) + len(codec.words.old) + sum(map(len, codec.bpe._apart.values()))
+            yield pa.RecordBatch.from_arrays([pa.array([size] * batch.num_rows, pa.int64())], ["n"])
+
+    # Whichever of the workers a task gets.
+    assert spark.range(16).repartition(16).mapInArrow(kept, "n long").agg(F.max("n")).first()[0] == 0

@@ -65,6 +65,9 @@ class PrefixBpe:
                 self.automaton.add_word(s, (i, len(s)))
         self.automaton.make_automaton()
 
+    def forget(self) -> None:
+        self._apart, self._pairs = {i: {} for i in self.text}, 0
+
     def symbols(self, token: str) -> str:
         if self.suffix and token.endswith(self.suffix) and token != self.suffix:
             body = token[: -len(self.suffix)]
@@ -87,7 +90,7 @@ class PrefixBpe:
     def apart(self, x: int, y: int) -> bool:
         """Whether BPE leaves x and y, side by side, as they are."""
         if self._pairs >= PAIRS:
-            self._apart, self._pairs = {i: {} for i in self.text}, 0
+            self.forget()
         self._pairs += 1
         got = self._apart[x][y] = self._stay_apart(x, y)
         return got
@@ -140,10 +143,15 @@ class Codec:
             raise ValueError("a decoder or post-processor isn't supported")
         self.pre, self.bpe = PreTokenizer(content), PrefixBpe(content)
         self.name = self.bpe.text | {i: t for t, i in self.pre.added.items()}
-        self.words = Memo(self.word, WORDS)
         self.added = {ADDED + t: (1, str(i), t) for t, i in self.pre.added.items()}
+        self.forget()
+
+    def forget(self) -> None:
+        """Lets go of what is remembered: some 100 MB that a Python worker would else keep while it does other work."""
+        self.words = Memo(self.word, WORDS)
         self.young: dict[bytes, tuple[int, str, str]] = {}
         self.old: dict[bytes, tuple[int, str, str]] = {}
+        self.bpe.forget()
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder the library puts a blank between tokens."""
@@ -193,21 +201,25 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, keep: bool = False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared_codec(shared.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                n, ids_sha, text_sha, ids, texts = [], [], [], [], []
-                for text in batch.column(1).to_pylist():
-                    count, line, decoded = codec(text)
-                    n.append(count)
-                    ids_sha.append(hashlib.sha256(line.encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
-                    if keep:
-                        ids.append(np.array(line.split(), "<i4"))
-                        texts.append(decoded)
-                columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())] if keep else []
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 256):
+                    batch = whole.slice(at, 256)
+                    n, ids_sha, text_sha, ids, texts = [], [], [], [], []
+                    for text in batch.column(1).to_pylist():
+                        count, line, decoded = codec(text)
+                        n.append(count)
+                        ids_sha.append(hashlib.sha256(line.encode()).hexdigest())
+                        text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
+                        if keep:
+                            ids.append(np.array(line.split(), "<i4"))
+                            texts.append(decoded)
+                    columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                    columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())] if keep else []
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
+        finally:
+            codec.forget()
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep)
