@@ -50,3 +50,13 @@ def test_walks_keep_to_nesting():
     assert pdf.string_end(b"(a(b)\\)c) d", 0) == 9 and pdf.string_end(b"(open", 0) == 5
     rows = bytes([2, 1, 2, 2, 3, 255])
     assert pdf.unpredict(rows, 12, 2) == bytes([1, 2, 4, 1]) and pdf.unpredict(bytes([0, 1, 2]) + rows[3:], 12, 2) == bytes([1, 2, 4, 1])
+
+
+def test_a_short_dictionary_is_walked_once_for_a_key(monkeypatch):
+    calls = []
+    whole = pdf.token
+    monkeypatch.setattr(pdf, "token", lambda *a: calls.append(1) or whole(*a))
+    body = b"<< /Seen (once) /Kids [1 0 R] /Kept << /Kids 2 >> >>"
+    assert [pdf.value(bytes(bytearray(body)), "Kids") for _ in range(3)] == [b"[1 0 R]"] * 3 and len(calls) == 1
+    long = body[:-2] + b"/Fill (" + b"x" * 600 + b") >>"
+    assert [pdf.value(long, "Kids") for _ in range(2)] == [b"[1 0 R]"] * 2 and len(calls) == 3
