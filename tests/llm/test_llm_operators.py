@@ -265,6 +265,34 @@ def test_bm25_many_and_uneven_shards(spark):
             assert [r[2] for r in mine if r[3] > -want[-1][0] + 1e-6] == [i for s, i in want if -s > -want[-1][0] + 1e-6]
 
 
+def test_bm25_queries_go_through_a_shard_together():
+    """Runs are scored for many queries by one product, with the results of each query scored alone in double precision."""
+    rng = random.Random(5)
+    builder, held = bm25.Builder(), []
+    for i in range(700):
+        held.append(Counter(f"w{min(int(rng.expovariate(0.02)), 399)}" for _ in range(rng.randint(1, 80))))
+        builder.add(i, " ".join(held[-1].elements()))
+    docs, tokens, blob = builder.row()
+    words = sorted({t for c in held for t in c}) + ["elsewhere"]
+    shard = bm25.Shard(blob, bm25.spaced(" ".join(words).encode()), tokens / docs)
+    assert 20 < len(shard.counts) < len(words) - 20  # long and short lists
+    queries = [(np.array(sorted(rng.sample(range(len(words)), m))), np.array([rng.uniform(0.1, 30) for _ in range(m)])) for m in (1, 2, 9, 40, 200) * 8]
+    queries.append((np.array([len(words) - 1]), np.ones(1)))
+    best = np.zeros((len(queries), 5))
+    best[::3] = 20.0  # found in other shards
+    of, places, scores = shard.top(queries, best)
+    got = defaultdict(dict)
+    for q, p, s in zip(of.tolist(), places.tolist(), scores.tolist()):
+        assert int(shard.ids[p]) not in got[q]
+        got[q][int(shard.ids[p])] = s
+    for q, (terms, weights) in enumerate(queries):
+        norm = [1.2 * (0.25 + 0.75 * c.total() * docs / tokens) for c in held]
+        want = {i: sum(w * c[words[t]] * 2.2 / (c[words[t]] + norm[i]) for t, w in zip(terms, weights)) for i, c in enumerate(held)}
+        least = max(sorted([*want.values(), *best[q]])[-5], 1e-12)
+        assert all(abs(got[q][i] - s) < 1e-8 for i, s in want.items() if i in got[q] or s >= least), q
+        assert len(got[q]) < 350
+
+
 def brute_pii(t):
     found = [(*m.span(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     found += [(*m.span(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]

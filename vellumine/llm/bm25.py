@@ -12,6 +12,8 @@ they are. The sum of a query's maxima in a run bounds all scores there. First th
 scored, which sets the threshold (the k-th best score so far, carried from shard to shard in a task). Then a cursor
 goes through the runs in document order: the pivot is the next run whose bound reaches the threshold, everything
 before it is passed over unscored, and the pivot's documents are scored in full, which may raise the threshold.
+Some hundred queries go through a shard together, so that a run is scored by one matrix product for all queries whose
+pivot it is; that product is of single precision with a margin for its error, and what it finds is summed up anew.
 """
 from __future__ import annotations
 
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,10 +36,15 @@ TOP = 10
 SHARD_TOKENS = 5_000_000
 SHARD_DOCS = 20_000
 RUN = 64
-#: Lists longer than this share of a shard's documents (and than one run) are bounded instead of added up.
-LONG = 1 / 8
-#: Pivots scored at a time.
+#: Lists longer than this share of a shard's documents (and than one run) are bounded instead of added up, the longest
+#: first, as many as a table of so many numbers holds.
+LONG = 1 / 32
+DENSE = 12_000_000
+#: Runs that set a query's threshold in a shard.
 STEP = 8
+#: Queries that go through a shard together: so many, and no more than a table of so many sums holds.
+QUERIES = 256
+SUMS = 3_000_000
 #: Scores count to nine decimals; a bound below the threshold by more than this can't reach it.
 SLACK = 2e-9
 #: A block of queries holds about so many (query, term) pairs.
@@ -159,76 +167,127 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), text_of().alias("text")).mapInArrow(run, "query_id long, term binary, qtf long")
 
 
+def spaced(names: bytes) -> pa.Array:
+    """Words that stand between single spaces, each with a space after it."""
+    data = np.frombuffer(names + b" " if names else b"", "u1")
+    ends = np.concatenate([[0], np.flatnonzero(data == 0x20) + 1]).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
 class Shard:
-    """A shard opened for one block of queries: postings of the block's terms with their contributions."""
+    """A shard opened for one block of queries: postings of the block's terms with their contributions.
+
+    wanted: the block's words as spaced() gives them.
+    """
 
-    def __init__(self, blob: bytes, wanted: dict[bytes, int], average: float):
+    def __init__(self, blob: bytes, wanted: pa.Array, average: float):
         row = unpacked(blob)
         self.ids = np.frombuffer(row["ids"], "<i8")
         self.known = np.frombuffer(row["known"], "u1").astype(bool)
         n = self.n = len(self.ids)
         lengths = np.frombuffer(row["lengths"], "<u4").astype(float)
         starts = np.frombuffer(row["starts"], "<u4").astype(np.int64)
-        places = np.frombuffer(row["places"], "<u4")
+        self.places = np.frombuffer(row["places"], "<u4").astype(np.int64)
         counts = np.frombuffer(row["counts"], "<u4").astype(float)
-        norm = K1 * (1 - B + B * lengths / max(average, 1e-9))
-        self.places = places.astype(np.int64)
-        self.parts = counts * (K1 + 1) / (counts + norm[self.places])
+        self.norm = K1 * (1 - B + B * lengths / max(average, 1e-9))
+        self.parts = counts * (K1 + 1) / (counts + self.norm[self.places])
         self.first, self.count = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
-        pairs = [(w, i) for i, t in enumerate(bytes(row["terms"]).split()) if (w := wanted.get(t)) is not None]
-        if pairs:
-            w, i = np.array(pairs).T
-            self.first[w], self.count[w] = starts[i], starts[i + 1] - starts[i]
+        found = pc.index_in(spaced(bytes(row["terms"])), value_set=wanted)
+        w, i = found.drop_null().to_numpy(), np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        self.first[w], self.count[w] = starts[i], starts[i + 1] - starts[i]
         self.runs = -(-n // RUN)
         long = np.flatnonzero(self.count > max(n * LONG, RUN))
+        long = long[np.argsort(-self.count[long], kind="stable")][: DENSE // max(1, self.runs * RUN)]
         self.row_of = np.full(len(wanted), -1, np.int64)
         self.row_of[long] = np.arange(len(long))
-        dense = np.zeros((len(long), self.runs * RUN))
+        self.counts = np.zeros((len(long), self.runs * RUN), np.float32)  # the long lists' counts, exact
+        self.dense = np.zeros((self.runs, len(long), RUN), np.float32)  # and contributions, by run
         for r, t in enumerate(long):
             at = slice(self.first[t], self.first[t] + self.count[t])
-            dense[r, self.places[at]] = self.parts[at]
-        self.dense = dense.reshape(len(long), self.runs, RUN)
-        self.maxima = self.dense.max(axis=2) if len(long) else np.zeros((0, self.runs))
-
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the k best documents of positive score; ties go to the smaller doc_id.
-
-        Documents whose score is below least may be left out.
+            run, nth = np.divmod(self.places[at], RUN)
+            self.counts[r, self.places[at]] = counts[at]
+            self.dense[run, r, nth] = self.parts[at]
+        self.maxima = np.ascontiguousarray(self.dense.max(axis=2).T)
+        # A sum over long lists in single precision errs by less than this share; what is found is summed up anew.
+        self.error = (len(long) + 8) * 2.0**-23
+
+    def short_sums(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Each document's score by these short lists."""
+        sizes = self.count[terms]
+        if not len(sizes):
+            return np.zeros(self.runs * RUN)
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(self.first[terms] - ends + sizes, sizes)
+        return np.bincount(self.places[at], np.repeat(weights, sizes) * self.parts[at], self.runs * RUN)
+
+    def long_sums(self, rows: np.ndarray, weights: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The score of these places by these long lists, in double precision."""
+        out = np.empty(len(places))
+        for at in range(0, len(places), 1024):
+            some = places[at : at + 1024]
+            counts = self.counts[rows[:, None], some].astype(float)
+            out[at : at + 1024] = weights @ (counts * (K1 + 1) / (counts + self.norm[some]))
+        return out
+
+    def top(self, queries: list[tuple[np.ndarray, np.ndarray]], best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each query (terms, weights) all documents that can be among the k best: query's number, place, score.
+
+        best: for each query the k best scores found elsewhere, 0 where there are fewer. Documents of no score or
+        of one below all of those are left out.
         """
-        held = self.count[terms] > 0
-        terms, weights = terms[held], weights[held]
-        rows = self.row_of[terms]
-        short, long = rows < 0, rows >= 0
-        base = np.zeros(self.runs * RUN)
-        sizes = self.count[terms[short]]
-        if len(sizes):
-            ends = np.cumsum(sizes)
-            at = np.arange(ends[-1]) + np.repeat(self.first[terms[short]] - ends + sizes, sizes)
-            base[: self.n] = np.bincount(self.places[at], np.repeat(weights[short], sizes) * self.parts[at], self.n)
-        rows, factors = rows[long], weights[long]
-        sums = base.reshape(self.runs, RUN)
-        bound = sums.max(axis=1) + (factors @ self.maxima[rows] if len(rows) else 0.0)
-        places, scores = np.empty(0, np.int64), np.empty(0)
-        first = np.argsort(-bound, kind="stable")[:STEP]
-        pivots, cursor = first[bound[first] > 0], 0
-        open_ = bound > 0
-        open_[first] = False
-        while len(pivots):
-            if (reach := pivots[bound[pivots] >= least - SLACK]).size:
-                got = (sums[reach] + (np.tensordot(factors, self.dense[rows[:, None], reach], 1) if len(rows) else 0.0)).ravel()
-                here = np.flatnonzero((got > 0) & (got >= least - SLACK))
-                places = np.concatenate([places, (reach[:, None] * RUN + np.arange(RUN)).ravel()[here]])
-                scores = np.concatenate([scores, got[here]])
-                if len(scores) >= k:
-                    least = max(least, np.partition(scores, len(scores) - k)[len(scores) - k])
-                    best = scores >= least - SLACK
-                    places, scores = places[best], scores[best]
-            # The next pivots: from the cursor on, in document order, the runs whose bound reaches the threshold.
-            pivots = cursor + np.flatnonzero(open_[cursor:] & (bound[cursor:] >= least - SLACK))[:STEP]
-            cursor = int(pivots[-1]) + 1 if len(pivots) else self.runs
-        scores = np.round(scores, 9)
-        best = np.lexsort((self.ids[places], ~self.known[places], -scores))[:k]
-        return places[best], scores[best]
+        k, lists = best.shape[1], []
+        sums = np.zeros((len(queries), self.runs, RUN))
+        factors = np.zeros((len(queries), len(self.dense[0]) if self.runs else 0), np.float32)
+        for q, (terms, weights) in enumerate(queries):
+            held = self.count[terms] > 0
+            terms, weights = terms[held], weights[held]
+            rows = self.row_of[terms]
+            long = rows >= 0
+            sums[q] = self.short_sums(terms[~long], weights[~long]).reshape(self.runs, RUN)
+            factors[q, rows[long]] = weights[long]
+            lists.append((rows[long], weights[long]))
+        over = 1 + 2 * self.error
+        bound = (sums.max(axis=2) + factors @ self.maxima) * over
+        best = best.copy()
+        least = best.min(axis=1) / over - SLACK
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def score(run: int, some: np.ndarray) -> None:
+            """Scores a run's documents for the queries whose pivot it is, and raises their thresholds."""
+            got = sums[some, run] + (factors if len(some) == len(factors) else factors[some]) @ self.dense[run]
+            reach = (got > 0) & (got >= least[some, None])
+            nth, at = np.nonzero(reach)
+            if not len(nth):
+                return
+            found.append((some[nth], run * RUN + at, got[nth, at]))
+            rise = np.flatnonzero(reach.any(axis=1))
+            more = np.concatenate([best[some[rise]], got[rise]], axis=1)
+            best[some[rise]] = more = np.partition(more, RUN, axis=1)[:, RUN:]
+            least[some[rise]] = more.min(axis=1) / over - SLACK
+
+        # The runs of the highest bounds set the thresholds; then the cursor goes through the others in document
+        # order: a run is the pivot of the queries whose threshold its bound reaches, the others pass it over.
+        first = np.zeros(bound.shape, bool)
+        if self.runs:
+            np.put_along_axis(first, np.argpartition(-bound, min(STEP, self.runs) - 1, axis=1)[:, :STEP], True, 1)
+        for now in (first, ~first):
+            for run in range(self.runs):
+                some = np.flatnonzero(now[:, run] & (bound[:, run] > 0) & (bound[:, run] >= least))
+                if len(some):
+                    score(run, some)
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        of, places, scores = (np.concatenate([x[c] for x in found]) for c in range(3))
+        held = scores >= least[of]
+        of, places = of[held], places[held]
+        order = np.argsort(of, kind="stable")
+        of, places = of[order], places[order]
+        scores = sums.reshape(len(queries), -1)[of, places]
+        cuts = np.searchsorted(of, np.arange(len(queries) + 1))
+        for (rows, weights), a, z in zip(lists, cuts, cuts[1:]):
+            if z > a and len(rows):
+                scores[a:z] += self.long_sums(rows, weights, places[a:z])
+        return of, places, np.round(scores, 9)
 
 
 def shared_block(rows: DataFrame) -> tuple:
@@ -245,26 +304,30 @@ def best_rows(index: DataFrame, shared, average: float, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, ids, term, weight = shared.value
-        wanted = {t: i for i, t in enumerate(names.split())}
+        wanted = spaced(names)
         cuts = np.flatnonzero(np.diff(ids)) + 1
-        parts = list(zip([0, *cuts], [*cuts, len(ids)])) if len(ids) else []
-        none = np.empty(0), np.empty(0, bool), np.empty(0, np.int64)
-        held = [none] * len(parts)
+        parts = [(term[a:z], weight[a:z]) for a, z in zip([0, *cuts], [*cuts, len(ids)])] if len(ids) else []
+        asked = ids[[0, *cuts]] if len(ids) else ids
+        of, scores, known, doc_ids = np.empty(0, np.int64), np.empty(0), np.empty(0, bool), np.empty(0, np.int64)
         for batch in batches:
             for blob in batch.column(0):
                 shard = Shard(blob.as_py(), wanted, average)
-                for i, (a, z) in enumerate(parts):
-                    scores, known, doc_ids = held[i]
-                    places, more = shard.top(term[a:z], weight[a:z], k, scores[-1] if len(scores) == k else 0.0)
-                    if len(places):
-                        scores, known, doc_ids = np.concatenate([scores, more]), np.concatenate([known, shard.known[places]]), np.concatenate([doc_ids, shard.ids[places]])
-                        best = np.lexsort((doc_ids, ~known, -scores))[:k]
-                        held[i] = scores[best], known[best], doc_ids[best]
-        for at in range(0, len(parts), 1024):
-            some = held[at : at + 1024]
-            of = np.repeat([ids[a] for a, _ in parts[at : at + 1024]], [len(x[0]) for x in some])
-            scores, known, doc_ids = (np.concatenate([x[c] for x in some]) for c in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(doc_ids, pa.int64(), mask=~known), pa.array(scores)], ["query_id", "doc_id", "score"])
+                best = np.zeros((len(parts), k))
+                best[of, np.arange(len(of)) - np.searchsorted(of, of)] = scores
+                new = [(of, scores, known, doc_ids)]
+                # The queries go through a shard together, as many as a bounded table of sums holds.
+                step = max(1, min(QUERIES, SUMS // max(1, shard.runs * RUN)))
+                for at in range(0, len(parts), step):
+                    which, places, more = shard.top(parts[at : at + step], best[at : at + step])
+                    new.append((which + at, more, shard.known[places], shard.ids[places]))
+                of, scores, known, doc_ids = (np.concatenate([x[c] for x in new]) for c in range(4))
+                order = np.lexsort((doc_ids, ~known, -scores, of))
+                of = of[order]
+                order = order[(kept := np.arange(len(of)) - np.searchsorted(of, of) < k)]
+                of, scores, known, doc_ids = of[kept], scores[order], known[order], doc_ids[order]
+        for at in range(0, len(of), 10_000):
+            part = slice(at, at + 10_000)
+            yield pa.RecordBatch.from_arrays([pa.array(asked[of[part]], pa.int64()), pa.array(doc_ids[part], pa.int64(), mask=~known[part]), pa.array(scores[part])], ["query_id", "doc_id", "score"])
 
     return index.select("shard").mapInArrow(run, "query_id long, doc_id long, score double")
 
