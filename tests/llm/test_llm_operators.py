@@ -293,6 +293,21 @@ def test_bm25_queries_go_through_a_shard_together():
         assert len(got[q]) < 350
 
 
+def test_bm25_scores_are_rounded_once(spark):
+    """A score that is rounded to nine decimals first may be rounded to another one of six."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.05)), 99)}" for _ in range(rng.randint(1, 90))) for _ in range(80)]
+    held = [Counter(bm25.tokens(t)) for t in texts]
+    n, average, df = len(texts), sum(c.total() for c in held) / len(texts), Counter(t for c in held for t in c)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = bm25.search(table, table.where("doc_id % 20 = 0").selectExpr("doc_id AS query_id", "text"), 7).collect()
+    assert len(rows) == 28
+    for q, _, i, score in rows:
+        c = held[i]
+        want = sum(m * math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * c.total() / average)) for t, m in held[q].items() if t in c)
+        assert abs(score - want) < 1e-11
+
+
 def brute_pii(t):
     found = [(*m.span(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     found += [(*m.span(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]

@@ -287,7 +287,7 @@ class Shard:
         for (rows, weights), a, z in zip(lists, cuts, cuts[1:]):
             if z > a and len(rows):
                 scores[a:z] += self.long_sums(rows, weights, places[a:z])
-        return of, places, np.round(scores, 9)
+        return of, places, scores
 
 
 def shared_block(rows: DataFrame) -> tuple:
@@ -300,7 +300,7 @@ def shared_block(rows: DataFrame) -> tuple:
 
 
 def best_rows(index: DataFrame, shared, average: float, k: int) -> DataFrame:
-    """query_id, doc_id, score: the k best rows of each query of the block in each task's shards."""
+    """query_id, doc_id, ranked, score: the k best rows of each query of the block in each task's shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, ids, term, weight = shared.value
@@ -321,22 +321,22 @@ def best_rows(index: DataFrame, shared, average: float, k: int) -> DataFrame:
                     which, places, more = shard.top(parts[at : at + step], best[at : at + step])
                     new.append((which + at, more, shard.known[places], shard.ids[places]))
                 of, scores, known, doc_ids = (np.concatenate([x[c] for x in new]) for c in range(4))
-                order = np.lexsort((doc_ids, ~known, -scores, of))
+                order = np.lexsort((doc_ids, ~known, -np.round(scores, 9), of))
                 of = of[order]
                 order = order[(kept := np.arange(len(of)) - np.searchsorted(of, of) < k)]
                 of, scores, known, doc_ids = of[kept], scores[order], known[order], doc_ids[order]
         for at in range(0, len(of), 10_000):
             part = slice(at, at + 10_000)
-            yield pa.RecordBatch.from_arrays([pa.array(asked[of[part]], pa.int64()), pa.array(doc_ids[part], pa.int64(), mask=~known[part]), pa.array(scores[part])], ["query_id", "doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(asked[of[part]], pa.int64()), pa.array(doc_ids[part], pa.int64(), mask=~known[part]), pa.array(np.round(scores[part], 9)), pa.array(scores[part])], ["query_id", "doc_id", "ranked", "score"])
 
-    return index.select("shard").mapInArrow(run, "query_id long, doc_id long, score double")
+    return index.select("shard").mapInArrow(run, "query_id long, doc_id long, ranked double, score double")
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP, block_terms: int = BLOCK_TERMS, shard_tokens: int = SHARD_TOKENS, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """query_id, rank, doc_id, score: the k best documents of each query by BM25.
 
-    queries: query_id, text; each text is a bag of words in which repeats count. Scores are rounded to nine
-    decimals; ties go to the smaller doc_id, null ids last. Documents that share no word with a query aren't
+    queries: query_id, text; each text is a bag of words in which repeats count. Rows are ranked by scores
+    rounded to nine decimals, and scores are as summed up; ties go to the smaller doc_id, null ids last. Documents that share no word with a query aren't
     listed; null and empty texts match nothing and find nothing. Queries that repeat a query_id are one query
     of all their words; those of null id aren't asked. An empty table, of documents or of queries, gives no rows.
     """
@@ -361,5 +361,5 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, block_terms: int =
     for more in found[1:]:
         rows = rows.unionByName(more)
     # Tasks keep k rows a query before the shuffle, and the ordered rows of a query spill.
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last()))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("ranked"), F.col("doc_id").asc_nulls_last()))
     return rows.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
