@@ -209,6 +209,47 @@ def test_suffix_dedup(spark, docs, empty, group, hot):
         assert suffix_dedup.without_repeats(empty).collect() == []
 
 
+def shared_words_by_force(texts: list[str], words: int) -> list[int]:
+    parts = [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts]
+    owners: dict[tuple, set] = {}
+    for t, p in zip(texts, parts):
+        for i in range(len(p) - words + 1):
+            owners.setdefault(tuple(p[i : i + words]), set()).add(t)
+    out = []
+    for p in parts:
+        at = [i for i in range(len(p) - words + 1) if len(owners[tuple(p[i : i + words])]) > 1]
+        out.append(len({k for i in at for k in range(i, i + words)}))
+    return out
+
+
+@pytest.mark.parametrize("block", [suffix_dedup.BLOCK, 200])
+def test_passages_of_51_words_shared_by_texts_are_counted(spark, docs, monkeypatch, block):
+    rng = random.Random(7)
+    some = lambda n: ["".join(rng.choice("abcdeä") for _ in range(rng.randint(1, 6))) for _ in range(n)]
+    passage, line = some(60), some(51)
+    made = [" ".join([*some(rng.randint(0, 70)), *passage[: 48 + i], *some(rng.randint(0, 70))]) for i in range(13)]
+    made += [" ".join(passage[5:]), "\n".join(passage[2:58]) + "\t", " ".join(passage[:51]) + "x", " ".join([*line, *some(9), *line]), " ".join(some(80))]
+    made += [made[-1], made[12], " ".join(["x"] * 60), " ".join(["x"] * 70), " ".join(["x"] * 50), "y" * 500, None, ""]
+    made = [(i, t) for i, t in enumerate(made)]
+    want = shared_words_by_force([t or "" for _, t in made], 51)
+    assert want[3] >= 51 and want[16] == want[17] == want[18] == want[22] == 0 and want[20] == 60
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)  # however the texts are cut up, anchors and cores are the same
+    numbers, cores, lo, hi = suffix_dedup.passage_cores([(t or "").encode() for _, t in made])
+    named = {}
+    for n, core, a, b in zip(numbers.tolist(), cores.tolist(), lo.tolist(), hi.tolist()):
+        for i in range(a, b + 1):
+            assert named.setdefault(tuple(made[n][1].split()[i : i + 51]), core) == core
+    assert len(cores) and set(named) == {tuple((t or "").split()[i : i + 51]) for _, t in made for i in range(len((t or "").split()) - 50)}
+    if block == 200:
+        return
+    table = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_shared_words for r in suffix_dedup.without_repeats(table).collect()}
+    assert [got[i] for i, _ in made] == want
+    rows = plain(docs)
+    got = {r.doc_id: r.n_shared_words for r in suffix_dedup.without_repeats(docs).collect()}
+    assert [got[i] for i, _ in rows] == shared_words_by_force([t or "" for _, t in rows], 51)
+
+
 def test_long_texts_are_scanned_in_overlapping_pieces(monkeypatch):
     text = random.Random(2).randbytes(5000)
     whole = suffix_dedup.anchors([text])[0].tolist()
